@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from shopmill.functions import brands, prices, urls
 from shopmill.functions import text as texts
-from shopmill.functions.columns import blank_to_null, let, strip
+from shopmill.functions.columns import let, strip, unless_blank
 from shopmill.operators.select import Selector, SelectorSet, attribute, safe_text
-from shopmill.operators.shred import shred, slice_text
+from shopmill.operators.shred import shred
 from shopmill.plans import vocabulary as v
 from shopmill.schemas import PRICE
 
@@ -39,33 +39,21 @@ def find_elements(pages: DataFrame, selectors: SelectorSet, levels: int = 0) ->
     return shred(pages, *selectors.probes(), levels).withColumn("hits", selectors.hits())
 
 
-def _text(element: Column) -> Column:
-    return slice_text(F.col("text"), element)
-
-
-def _shown(element: Column) -> Column:
-    return slice_text(F.col("shown"), element, "shown")
-
-
-def _first(selectors: list[Selector], visible: bool = False) -> Column:
-    return PRODUCT.first(selectors, visible)
-
-
 def _exists(selectors: list[Selector]) -> Column:
-    return _first(selectors).isNotNull()
+    return PRODUCT.first(selectors).isNotNull()
 
 
 def _first_text(selectors: list[Selector]) -> Column:
     """Text of the first element that a chain finds, whether or not it is empty."""
-    return let(_first(selectors), lambda e: strip(_text(e)))
+    return strip(PRODUCT.first_text(selectors))
 
 
 def title_column() -> Column:
-    return let(_first(v.TITLE, visible=True), lambda e: safe_text(F.col("text"), e))
+    return unless_blank(strip(PRODUCT.first_text(v.TITLE, visible=True)))
 
 
 def image_column() -> Column:
-    return let(_first(v.IMAGE, visible=True), lambda e: attribute(e, "src"))
+    return PRODUCT.first_attribute(v.IMAGE, "src", visible=True)
 
 
 def current_price_column() -> Column:
@@ -77,7 +65,7 @@ def alternative_prices(pages: DataFrame) -> DataFrame:
     """The other way to read the current price: ``page_id, price``."""
 
     def read(selectors: list[Selector]) -> Column:
-        return let(ALTERNATIVE.first(selectors), lambda e: prices.parse_price(_text(e)))
+        return prices.parse_price(ALTERNATIVE.first_text(selectors))
 
     tries = [v.ALTERNATIVE_PRICE, *([selector] for selector in v.ALTERNATIVE_PRICE_RETRY)]
     found = find_elements(pages.select("page_id", "html"), ALTERNATIVE)
@@ -103,19 +91,22 @@ def price_column(current: Column) -> Column:
 
 
 def rating_column() -> Column:
-    stars = let(_first(v.RATING_CLASS), lambda e: prices.rating_from_class(attribute(e, "class")))
-    return F.coalesce(stars, let(_first(v.RATING_TEXT), lambda e: prices.rating_from_text(_text(e))))
+    return F.coalesce(
+        prices.rating_from_class(PRODUCT.first_attribute(v.RATING_CLASS, "class")),
+        prices.rating_from_text(PRODUCT.first_text(v.RATING_TEXT)),
+    )
 
 
 def review_count_column() -> Column:
-    return prices.review_count(F.coalesce(let(_first([BODY]), _shown), F.col("shown")))
+    return prices.review_count(F.coalesce(PRODUCT.first_text([BODY], "shown"), F.col("shown")))
 
 
 def description_column(limit: int = 32000) -> Column:
     """Cleaned sections in fixed order, equal contents once, cut at a section or sentence end."""
 
     def section(key: str, label: str) -> Column:
-        content = let(_first([("ID", key)]), lambda e: F.coalesce(blank_to_null(_shown(e)), _text(e)))
+        shown = unless_blank(PRODUCT.first_text([("ID", key)], "shown"))
+        content = F.coalesce(shown, PRODUCT.first_text([("ID", key)]))
         return F.struct(F.lit(label).alias("label"), content.alias("content"))
 
     raw = F.array(*(section(key, label) for key, label in v.DESCRIPTION_SECTIONS))
@@ -130,7 +121,7 @@ def description_column(limit: int = 32000) -> Column:
             lambda s: F.concat(s["label"], F.lit(":\n"), s["content"]),
         ),
     )
-    return texts.truncate_text(blank_to_null(F.array_join(parts, "\n\n")), limit)
+    return texts.truncate_text(unless_blank(F.array_join(parts, "\n\n")), limit)
 
 
 def content_type_column(element: Column) -> Column:
@@ -158,17 +149,17 @@ def content_types(pages: DataFrame, selectors: list[Selector]) -> DataFrame:
 
 def availability_column(current_price: Column) -> Column:
     def usable(button: Selector) -> Column:
-        return let(_first([button]), lambda e: attribute(e, "disabled").isNull() & e.isNotNull())
+        return _exists([button]) & PRODUCT.first_attribute([button], "disabled").isNull()
 
     in_stock = F.lit(v.IN_STOCK)
-    firsts = F.array(*(let(_first([s]), _shown) for s in v.AVAILABILITY_ANY_TEXT))
+    firsts = F.array(*(PRODUCT.first_text([s], "shown") for s in v.AVAILABILITY_ANY_TEXT))
     first_text = F.get(F.filter(F.transform(firsts, strip), lambda t: t != ""), 0)
     return F.coalesce(
         *(F.when(usable(button), in_stock) for button in v.CART_BUTTONS),
         F.when(_exists(v.PRICE_ELEMENTS), in_stock),
         F.when(_exists(v.OUT_OF_STOCK), F.lit(v.UNAVAILABLE)),
         F.when(_exists(v.PREORDER), F.lit(v.PREORDERABLE)),
-        blank_to_null(_first_text(v.AVAILABILITY_TEXT)),
+        unless_blank(_first_text(v.AVAILABILITY_TEXT)),
         F.when(current_price.isNotNull(), in_stock),
         first_text,
         F.when(_exists(v.CART_LIKE) | _exists(v.PRICE_LIKE), in_stock),
@@ -201,13 +192,10 @@ def extract_products(
         {
             "title": title_column(),
             "current_price": current_price_column(),
-            "brand_element": let(
-                _first(v.BRAND, visible=True),
-                lambda e: F.struct(safe_text(F.col("text"), e).alias("byline"), attribute(e, "href").alias("href")),
-            ),
+            "byline": strip(PRODUCT.first_text(v.BRAND, visible=True)),
+            "byline_link": PRODUCT.first_attribute(v.BRAND, "href", visible=True),
         }
     )
-    byline = F.col("brand_element")
     return found.filter(F.col("title").isNotNull() | F.col("current_price").isNotNull()).select(
         "page_id",
         "url",
@@ -218,7 +206,7 @@ def extract_products(
         review_count_column().alias("review_count"),
         description_column(description_limit).alias("description"),
         image_column().alias("image_url"),
-        brands.brand(byline["byline"], byline["href"], F.col("title")).alias("brand"),
+        brands.brand(F.col("byline"), F.col("byline_link"), F.col("title")).alias("brand"),
         availability_column(F.col("current_price")).alias("availability"),
         "category",
         "timestamp",
@@ -228,7 +216,7 @@ def extract_products(
 def page_categories(pages: DataFrame) -> DataFrame:
     """Category of best-seller pages: from the URL, else from the page, else the default."""
     selectors = SelectorSet(v.CATEGORY)
-    named = let(selectors.first(v.CATEGORY), lambda e: strip(_shown(e)))
+    named = strip(selectors.first_text(v.CATEGORY, "shown"))
     return find_elements(pages.select("page_id", "url", "html"), selectors).select(
         "page_id",
         "url",

@@ -175,10 +175,22 @@ class SelectorSet:
         """Elements of one selector in document order."""
         return F.expr(f"transform(get(hits, {self._places([selector])}), i -> get(elements, i))")
 
+    def _first(self, selectors: list[Selector], visible: bool) -> str:
+        firsts = f"transform(array({self._places(selectors)}), n -> get(elements, get(get(hits, n), 0)))"
+        return f"get(filter({firsts}, e -> {'e.visible' if visible else 'e is not null'}), 0)"
+
     def first(self, selectors: list[Selector], visible: bool = False) -> Column:
         """Chain: the first selector whose first element exists (and, on request, is visible) gives the element."""
-        firsts = f"transform(array({self._places(selectors)}), n -> get(elements, get(get(hits, n), 0)))"
-        return F.expr(f"get(filter({firsts}, e -> {'e.visible' if visible else 'e is not null'}), 0)")
+        return F.expr(self._first(selectors, visible))
+
+    def first_text(self, selectors: list[Selector], what: str = "text", visible: bool = False) -> Column:
+        """Text of the element that a chain finds: its ``text`` content, or as ``shown``; NULL without an element."""
+        piece = f"substring({what}, e.{what}_at + 1, e.{what}_len)"
+        return F.expr(f"get(transform(array({self._first(selectors, visible)}), e -> {piece}), 0)")
+
+    def first_attribute(self, selectors: list[Selector], name: str, visible: bool = False) -> Column:
+        found = self._first(selectors, visible)
+        return F.expr(f"get(transform(array({found}), e -> try_element_at(e.attrs, {_quote(name)})), 0)")
 
     def first_filled(self, selectors: list[Selector]) -> Column:
         """Chain: all elements of the first selector that has any; an empty array when none has."""
