@@ -211,8 +211,8 @@ def short_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey,
-       CASE p_partkey % 5 WHEN 0 THEN 'L,M,xl' WHEN 1 THEN p_size || ',' || p_size || '.5'
-         WHEN 2 THEN 'Large,Small,s' WHEN 3 THEN 'Small,s' ELSE '' END AS sizes,
+       CASE p_partkey % 5 WHEN 0 THEN 'L,M,xl' WHEN 1 THEN p_size || ',' || p_size || '.5,s'
+         WHEN 2 THEN 'Large,Small,s' WHEN 3 THEN 's,small' ELSE '' END AS sizes,
        CASE p_partkey % 5 WHEN 0 THEN 'Navy blue,' || p_name WHEN 1 THEN p_name WHEN 2 THEN 'Available color Blue,Blue'
          WHEN 3 THEN 'ful ' || p_name ELSE 'As shown in the figure' END AS colors
 FROM part
