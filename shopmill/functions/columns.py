@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bodies of Java character classes that accept the characters which Unicode-aware \s and \w accept.
@@ -46,3 +46,12 @@ def drop_all(text: Column, *patterns: str) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times inside ``body``."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    The optimizer may copy an ordinary column into each filter and projection that uses it; it does not copy what a
+    generator gives.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

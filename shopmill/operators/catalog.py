@@ -70,43 +70,48 @@ def _is_variable() -> Column:
     return F.coalesce(F.col("sizes"), F.lit("")) != ""
 
 
+def _colors() -> Column:
+    return F.coalesce(blank_to_null(F.col("colors")), F.lit(variants.DEFAULT_COLOR))
+
+
 def catalog_size() -> Column:
     """Catalog rows that a staging row gives: itself and, with sizes, one per size and colour."""
-    pairs = F.size(F.split("sizes", ",")) * F.size(F.split(_colors(), ","))
+    pairs = F.size(F.split("sizes", ",")).cast("bigint") * F.size(F.split(_colors(), ","))
     return F.when(_is_variable(), pairs + 1).otherwise(1)
 
 
-def _colors() -> Column:
-    return F.coalesce(blank_to_null(F.col("colors")), F.lit(variants.DEFAULT_COLOR))
-
-
 def expand_rows(stage: DataFrame) -> DataFrame:
     """Base row of each product, followed (``k`` 1, 2, ...) by its variations, sizes outside, colours inside.
 
+    Sizes and colours are exploded one after the other, so the pairs of a product never stand in memory together.
     The long texts travel inside the base entry only, so that exploding does not copy them per variation.
     """
-    sizes, colors = F.split("sizes", ","), F.split(_colors(), ",")
 
-    def entry(k: Column, size: Column, color: Column, texts: bool) -> Column:
-        none = F.lit(None).cast("string")
+    def entry(place: Column, size: Column, description: Column, short: Column) -> Column:
         return F.struct(
-            k.cast("int").alias("k"),
+            place.cast("bigint").alias("place"),
             size.cast("string").alias("size"),
-            color.cast("string").alias("color"),
-            (F.col("description") if texts else none).alias("description"),
-            (F.col("short_description") if texts else none).alias("short_description"),
+            description.cast("string").alias("description"),
+            short.cast("string").alias("short_description"),
         )
 
-    base = F.array(entry(F.lit(0), F.lit(None), F.lit(None), True))
-    pairs = F.flatten(
-        F.transform(
-            sizes,
-            lambda s, i: F.transform(colors, lambda c, j: entry(i * F.size(colors) + j + 1, strip(s), strip(c), False)),
-        )
-    )
-    entries = F.when(_is_variable(), F.concat(base, pairs)).otherwise(base)
+    none = F.lit(None)
+    base = F.array(entry(F.lit(-1), none, F.col("description"), F.col("short_description")))
+    sized = F.transform(F.split("sizes", ","), lambda size, i: entry(i, strip(size), none, none))
     slim = [name for name in stage.columns if name not in ("description", "short_description")]
-    return stage.select(*slim, F.explode(entries).alias("v")).select(*slim, "v.*")
+    by_size = stage.select(
+        *slim,
+        F.split(_colors(), ",").alias("color_list"),
+        F.explode(F.when(_is_variable(), F.concat(base, sized)).otherwise(base)).alias("v"),
+    )
+    is_base = F.col("v.place") < 0
+    colors = F.when(is_base, F.array(none.cast("string"))).otherwise(F.col("color_list"))
+    by_color = by_size.select("*", F.posexplode(colors).alias("color_place", "color"))
+    k = F.when(is_base, F.lit(0)).otherwise(F.col("v.place") * F.size("color_list") + F.col("color_place") + 1)
+    return by_color.select(
+        *slim, k.alias("k"), F.col("v.size").alias("size"), strip(F.col("color")).alias("color"),
+        "v.description", "v.short_description",
+    )
 
 
 def to_catalog(stage: DataFrame, first_id: int = 10000) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shopmill.functions import brands, prices, urls
 from shopmill.functions import text as texts
-from shopmill.functions.columns import let, strip, unless_blank
+from shopmill.functions.columns import let, strip, unless_blank, with_computed
 from shopmill.operators.select import Selector, SelectorSet, attribute, safe_text
 from shopmill.operators.shred import shred
 from shopmill.plans import vocabulary as v
@@ -20,11 +20,21 @@ from shopmill.schemas import PRICE
 
 BODY = ("CSS_SELECTOR", "body")
 SECTIONS = [("ID", key) for key, _ in v.DESCRIPTION_SECTIONS]
-PRODUCT = SelectorSet(
-    v.TITLE, v.IMAGE, v.BRAND, v.CURRENT_PRICE, v.WHOLE_PRICE, v.PRICE_FRACTION, v.ORIGINAL_PRICE, v.SAVINGS_AMOUNT,
-    v.RATING_CLASS, v.RATING_TEXT, SECTIONS, v.CART_BUTTONS, v.PRICE_ELEMENTS, v.OUT_OF_STOCK, v.PREORDER,
-    v.AVAILABILITY_ANY_TEXT, v.CART_LIKE, v.PRICE_LIKE, [BODY],
-)
+CURRENT_PRICE = [*v.CURRENT_PRICE, *v.WHOLE_PRICE, *v.PRICE_FRACTION]
+# What each field of a product record is read from; title and current price decide whether there is a record.
+FIELD_SELECTORS = {
+    "title": v.TITLE,
+    "price": [*CURRENT_PRICE, *v.ORIGINAL_PRICE, *v.SAVINGS_AMOUNT],
+    "rating": [*v.RATING_CLASS, *v.RATING_TEXT],
+    "review_count": [BODY],
+    "description": SECTIONS,
+    "image_url": v.IMAGE,
+    "brand": v.BRAND,
+    "availability": [
+        *v.CART_BUTTONS, *v.PRICE_ELEMENTS, *v.OUT_OF_STOCK, *v.PREORDER, *v.AVAILABILITY_ANY_TEXT, *v.CART_LIKE,
+        *v.PRICE_LIKE,
+    ],
+}
 ALTERNATIVE = SelectorSet(v.ALTERNATIVE_PRICE)
 
 
@@ -36,29 +46,102 @@ def split_throttled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def find_elements(pages: DataFrame, selectors: SelectorSet, levels: int = 0) -> DataFrame:
     """Pages with their ``elements`` and the ``hits`` of the selectors among them; ``html`` is gone."""
-    return shred(pages, *selectors.probes(), levels).withColumn("hits", selectors.hits())
-
-
-def _exists(selectors: list[Selector]) -> Column:
-    return PRODUCT.first(selectors).isNotNull()
-
-
-def _first_text(selectors: list[Selector]) -> Column:
-    """Text of the first element that a chain finds, whether or not it is empty."""
-    return strip(PRODUCT.first_text(selectors))
-
-
-def title_column() -> Column:
-    return unless_blank(strip(PRODUCT.first_text(v.TITLE, visible=True)))
+    return with_computed(shred(pages, *selectors.probes(), levels), "hits", selectors.hits())
+
+
+class ProductFields:
+    """Columns of a product record over pages whose elements have been found."""
+
+    def __init__(self, chosen: SelectorSet) -> None:
+        self.chosen = chosen
+
+    def exists(self, selectors: list[Selector]) -> Column:
+        return self.chosen.first(selectors).isNotNull()
+
+    def text(self, selectors: list[Selector]) -> Column:
+        """Text of the first element that a chain finds, whether or not it is empty."""
+        return strip(self.chosen.first_text(selectors))
+
+    def title(self) -> Column:
+        return unless_blank(strip(self.chosen.first_text(v.TITLE, visible=True)))
+
+    def image_url(self) -> Column:
+        return self.chosen.first_attribute(v.IMAGE, "src", visible=True)
+
+    def current_price(self) -> Column:
+        pieces = F.concat(self.text(v.WHOLE_PRICE), self.text(v.PRICE_FRACTION))
+        return F.coalesce(prices.parse_price(F.coalesce(self.text(v.CURRENT_PRICE), pieces)), F.col("source_price"))
+
+    def price(self, current: Column) -> Column:
+        """Price record; the parts that pages never give stay NULL."""
+        nothing = F.lit(None)
+        return F.struct(
+            current.alias("current_price"),
+            prices.parse_price(self.text(v.ORIGINAL_PRICE)).alias("original_price"),
+            nothing.alias("deal_price"),
+            F.struct(nothing.alias("min"), nothing.alias("max")).alias("price_range"),
+            F.struct(
+                prices.parse_price(self.text(v.SAVINGS_AMOUNT)).alias("amount"),
+                prices.parse_percentage(self.text(v.SAVINGS_PERCENTAGE)).alias("percentage"),
+            ).alias("savings"),
+            nothing.alias("prime_price"),
+            nothing.alias("installment"),
+            nothing.alias("coupon"),
+        ).cast(PRICE)
+
+    def rating(self) -> Column:
+        return F.coalesce(
+            prices.rating_from_class(self.chosen.first_attribute(v.RATING_CLASS, "class")),
+            prices.rating_from_text(self.chosen.first_text(v.RATING_TEXT)),
+        )
 
+    def review_count(self) -> Column:
+        return prices.review_count(F.coalesce(self.chosen.first_text([BODY], "shown"), F.col("shown")))
 
-def image_column() -> Column:
-    return PRODUCT.first_attribute(v.IMAGE, "src", visible=True)
+    def description(self, limit: int) -> Column:
+        """Cleaned sections in fixed order, equal contents once, cut at a section or sentence end."""
 
+        def section(key: str, label: str) -> Column:
+            shown = unless_blank(self.chosen.first_text([("ID", key)], "shown"))
+            content = F.coalesce(shown, self.chosen.first_text([("ID", key)]))
+            return F.struct(F.lit(label).alias("label"), content.alias("content"))
 
-def current_price_column() -> Column:
-    pieces = F.concat(_first_text(v.WHOLE_PRICE), _first_text(v.PRICE_FRACTION))
-    return F.coalesce(prices.parse_price(F.coalesce(_first_text(v.CURRENT_PRICE), pieces)), F.col("source_price"))
+        raw = F.array(*(section(key, label) for key, label in v.DESCRIPTION_SECTIONS))
+        clean = F.transform(
+            raw, lambda s: F.struct(s["label"], texts.filter_code(texts.clean_text(s["content"])).alias("content"))
+        )
+        kept = F.filter(clean, lambda s: s["content"].isNotNull())
+        parts = let(
+            kept,
+            lambda all_: F.transform(
+                F.filter(all_, lambda s, i: F.array_position(all_["content"], s["content"]) == i + 1),
+                lambda s: F.concat(s["label"], F.lit(":\n"), s["content"]),
+            ),
+        )
+        return texts.truncate_text(unless_blank(F.array_join(parts, "\n\n")), limit)
+
+    def brand(self, title: Column) -> Column:
+        byline = self.chosen.first_text(v.BRAND, visible=True)
+        return brands.brand(byline, self.chosen.first_attribute(v.BRAND, "href", visible=True), title)
+
+    def availability(self, current_price: Column) -> Column:
+        def usable(button: Selector) -> Column:
+            return self.exists([button]) & self.chosen.first_attribute([button], "disabled").isNull()
+
+        in_stock = F.lit(v.IN_STOCK)
+        firsts = F.array(*(self.chosen.first_text([s], "shown") for s in v.AVAILABILITY_ANY_TEXT))
+        first_text = F.get(F.filter(F.transform(firsts, strip), lambda t: t != ""), 0)
+        return F.coalesce(
+            *(F.when(usable(button), in_stock) for button in v.CART_BUTTONS),
+            F.when(self.exists(v.PRICE_ELEMENTS), in_stock),
+            F.when(self.exists(v.OUT_OF_STOCK), F.lit(v.UNAVAILABLE)),
+            F.when(self.exists(v.PREORDER), F.lit(v.PREORDERABLE)),
+            unless_blank(self.text(v.AVAILABILITY_TEXT)),
+            F.when(current_price.isNotNull(), in_stock),
+            first_text,
+            F.when(self.exists(v.CART_LIKE) | self.exists(v.PRICE_LIKE), in_stock),
+            F.lit(v.UNKNOWN_STATUS),
+        )
 
 
 def alternative_prices(pages: DataFrame) -> DataFrame:
@@ -72,58 +155,6 @@ def alternative_prices(pages: DataFrame) -> DataFrame:
     return found.select("page_id", F.coalesce(*map(read, tries)).alias("price"))
 
 
-def price_column(current: Column) -> Column:
-    """Price record; the parts that pages never give stay NULL."""
-    nothing = F.lit(None)
-    return F.struct(
-        current.alias("current_price"),
-        prices.parse_price(_first_text(v.ORIGINAL_PRICE)).alias("original_price"),
-        nothing.alias("deal_price"),
-        F.struct(nothing.alias("min"), nothing.alias("max")).alias("price_range"),
-        F.struct(
-            prices.parse_price(_first_text(v.SAVINGS_AMOUNT)).alias("amount"),
-            prices.parse_percentage(_first_text(v.SAVINGS_PERCENTAGE)).alias("percentage"),
-        ).alias("savings"),
-        nothing.alias("prime_price"),
-        nothing.alias("installment"),
-        nothing.alias("coupon"),
-    ).cast(PRICE)
-
-
-def rating_column() -> Column:
-    return F.coalesce(
-        prices.rating_from_class(PRODUCT.first_attribute(v.RATING_CLASS, "class")),
-        prices.rating_from_text(PRODUCT.first_text(v.RATING_TEXT)),
-    )
-
-
-def review_count_column() -> Column:
-    return prices.review_count(F.coalesce(PRODUCT.first_text([BODY], "shown"), F.col("shown")))
-
-
-def description_column(limit: int = 32000) -> Column:
-    """Cleaned sections in fixed order, equal contents once, cut at a section or sentence end."""
-
-    def section(key: str, label: str) -> Column:
-        shown = unless_blank(PRODUCT.first_text([("ID", key)], "shown"))
-        content = F.coalesce(shown, PRODUCT.first_text([("ID", key)]))
-        return F.struct(F.lit(label).alias("label"), content.alias("content"))
-
-    raw = F.array(*(section(key, label) for key, label in v.DESCRIPTION_SECTIONS))
-    clean = F.transform(
-        raw, lambda s: F.struct(s["label"], texts.filter_code(texts.clean_text(s["content"])).alias("content"))
-    )
-    kept = F.filter(clean, lambda s: s["content"].isNotNull())
-    parts = let(
-        kept,
-        lambda all_: F.transform(
-            F.filter(all_, lambda s, i: F.array_position(all_["content"], s["content"]) == i + 1),
-            lambda s: F.concat(s["label"], F.lit(":\n"), s["content"]),
-        ),
-    )
-    return texts.truncate_text(unless_blank(F.array_join(parts, "\n\n")), limit)
-
-
 def content_type_column(element: Column) -> Column:
     """Kind of content that an element (or else its parent) announces by id or class."""
 
@@ -147,67 +178,52 @@ def content_types(pages: DataFrame, selectors: list[Selector]) -> DataFrame:
     )
 
 
-def availability_column(current_price: Column) -> Column:
-    def usable(button: Selector) -> Column:
-        return _exists([button]) & PRODUCT.first_attribute([button], "disabled").isNull()
-
-    in_stock = F.lit(v.IN_STOCK)
-    firsts = F.array(*(PRODUCT.first_text([s], "shown") for s in v.AVAILABILITY_ANY_TEXT))
-    first_text = F.get(F.filter(F.transform(firsts, strip), lambda t: t != ""), 0)
-    return F.coalesce(
-        *(F.when(usable(button), in_stock) for button in v.CART_BUTTONS),
-        F.when(_exists(v.PRICE_ELEMENTS), in_stock),
-        F.when(_exists(v.OUT_OF_STOCK), F.lit(v.UNAVAILABLE)),
-        F.when(_exists(v.PREORDER), F.lit(v.PREORDERABLE)),
-        unless_blank(_first_text(v.AVAILABILITY_TEXT)),
-        F.when(current_price.isNotNull(), in_stock),
-        first_text,
-        F.when(_exists(v.CART_LIKE) | _exists(v.PRICE_LIKE), in_stock),
-        F.lit(v.UNKNOWN_STATUS),
-    )
-
-
 def extract_products(
     pages: DataFrame,
     category: Column | None = None,
     at: Column | None = None,
     description_limit: int = 32000,
+    fields: list[str] | None = None,
 ) -> DataFrame:
     """Product records of stored pages: ``page_id`` and the product columns.
 
     Throttled pages and pages with neither title nor price give no record. ``category`` may use any column of
-    ``pages``; ``at`` is the time to stamp on the records, given by the caller so that a rerun repeats them.
+    ``pages``; ``at`` is the time to stamp on the records, given by the caller so that a rerun repeats them. With
+    ``fields`` only the selectors of these fields are tried, and only their columns are given.
     """
+    wanted = list(FIELD_SELECTORS) if fields is None else fields
+    chosen = SelectorSet(v.TITLE, CURRENT_PRICE, *(FIELD_SELECTORS[name] for name in wanted))
+    read = ProductFields(chosen)
     readable, _ = split_throttled(pages)
     stamped = readable.select(
         "page_id",
         "url",
         (F.lit(None).cast("string") if category is None else category).alias("category"),
         (F.lit(None).cast("timestamp") if at is None else at.cast("timestamp")).alias("timestamp"),
+        # the one value that needs the raw HTML
+        prices.price_in_source(F.col("html")).alias("source_price"),
         "html",
     )
-    # the price in the page source is the one field that needs the raw HTML
-    with_source = stamped.withColumn("source_price", prices.price_in_source(F.col("html")))
-    found = find_elements(with_source, PRODUCT).withColumns(
-        {
-            "title": title_column(),
-            "current_price": current_price_column(),
-            "byline": strip(PRODUCT.first_text(v.BRAND, visible=True)),
-            "byline_link": PRODUCT.first_attribute(v.BRAND, "href", visible=True),
-        }
-    )
-    return found.filter(F.col("title").isNotNull() | F.col("current_price").isNotNull()).select(
+    found = find_elements(stamped, chosen)
+    essential = F.array(F.struct(read.title().alias("title"), read.current_price().alias("current_price")))
+    kept = F.filter(essential, lambda r: r["title"].isNotNull() | r["current_price"].isNotNull())
+    records = found.select("*", F.explode(kept).alias("r"))
+    title, current_price = F.col("r.title"), F.col("r.current_price")
+    columns = {
+        "title": lambda: title,
+        "price": lambda: read.price(current_price),
+        "rating": read.rating,
+        "review_count": read.review_count,
+        "description": lambda: read.description(description_limit),
+        "image_url": read.image_url,
+        "brand": lambda: read.brand(title),
+        "availability": lambda: read.availability(current_price),
+    }
+    return records.select(
         "page_id",
         "url",
         urls.extract_asin(F.col("url")).alias("asin"),
-        "title",
-        price_column(F.col("current_price")).alias("price"),
-        rating_column().alias("rating"),
-        review_count_column().alias("review_count"),
-        description_column(description_limit).alias("description"),
-        image_column().alias("image_url"),
-        brands.brand(F.col("byline"), F.col("byline_link"), F.col("title")).alias("brand"),
-        availability_column(F.col("current_price")).alias("availability"),
+        *(make().alias(name) for name, make in columns.items() if name in wanted),
         "category",
         "timestamp",
     )

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shopmill.session import ensure_checkpoint_dir
 
-_ROW_BITS = 33  # monotonically_increasing_id holds the row number in its low 33 bits
-
 
 def number_blocks(df: DataFrame, key: str, size: Column, first: int) -> DataFrame:
     """``key, start_id``: the first number of the ``size`` consecutive numbers of each key, in key order.
@@ -19,27 +17,20 @@ def number_blocks(df: DataFrame, key: str, size: Column, first: int) -> DataFram
     """
     ensure_checkpoint_dir(df.sparkSession)
     ordered = (
-        df.select(key, size.cast("int").alias("size"))
+        df.select(key, size.cast("bigint").alias("size"))
         .repartitionByRange(F.col(key))
         .sortWithinPartitions(key)
         .checkpoint()
+        .withColumn("part", F.spark_partition_id())
     )
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ordered.groupBy(F.spark_partition_id().alias("part"))
+        ordered.groupBy("part")
         .agg(F.sum("size").alias("rows"))
-        .select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
-    )
-    numbered = (
-        ordered.select(key, F.explode(F.sequence(F.lit(1), "size")).alias("k"))
-        .withColumn("at", F.monotonically_increasing_id())
-        .filter(F.col("k") == 1)
-        .select(
-            key,
-            F.shiftright("at", _ROW_BITS).cast("int").alias("part"),
-            F.col("at").bitwiseAND((1 << _ROW_BITS) - 1).alias("row"),
-        )
+        .select("part", F.coalesce(F.sum("rows").over(earlier_parts), F.lit(0)).alias("before"))
     )
-    return numbered.join(F.broadcast(starts), "part").select(
-        key, (F.col("before") + F.col("row") + first).alias("start_id")
+    earlier_rows = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = ordered.select(key, "part", F.coalesce(F.sum("size").over(earlier_rows), F.lit(0)).alias("offset"))
+    return within.join(F.broadcast(starts), "part").select(
+        key, (F.col("before") + F.col("offset") + first).alias("start_id")
     )

@@ -15,6 +15,7 @@ from shopmill.functions.columns import first_group, let
 from shopmill.operators.extract import find_elements
 from shopmill.operators.select import Selector, SelectorSet, attribute, inside
 from shopmill.operators.shred import slice_text
+from shopmill.operators.skew import join_unique
 from shopmill.plans import vocabulary as v
 
 
@@ -141,11 +142,23 @@ def _first_filled(lists: list[Column]) -> Column:
     return F.coalesce(*filled)
 
 
-def _ranked_rows(found: DataFrame, chosen: Column) -> DataFrame:
-    picked = found.select("page_id", chosen.alias("p")).select(
-        "page_id", F.col("p.source").alias("source"), F.explode("p.links").alias("l")
+def _ranked_rows(lists: DataFrame) -> DataFrame:
+    return lists.select("page_id", F.col("p.source").alias("source"), F.explode("p.links").alias("l")).select(
+        "page_id", "source", "l.*"
     )
-    return picked.select("page_id", "source", "l.*")
+
+
+def search_link_lists(
+    pages: DataFrame, n: int = 10, fallback: bool = True, distinct: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per search page: ``page_id``, the columns to ``keep``, and ``p``, the source and list of its links.
+
+    ``p`` is NULL for a page without links.
+    """
+    primary = _search_primary(n)
+    lists = [_first_per_asin(primary) if distinct else primary, *(_search_fallbacks(n) if fallback else [])]
+    found = find_elements(pages.select("page_id", *keep, "html"), SEARCH)
+    return found.select("page_id", *keep, _first_filled(lists).alias("p"))
 
 
 def search_links(pages: DataFrame, n: int = 10, fallback: bool = True, distinct: bool = True) -> DataFrame:
@@ -154,16 +167,14 @@ def search_links(pages: DataFrame, n: int = 10, fallback: bool = True, distinct:
     The cut to ``n`` comes before repeated products are removed, so fewer than ``n`` can remain. ``source`` 0 is
     the result list, 1 to 5 are the fallbacks, used only for a page on which all earlier sources are empty.
     """
-    primary = _search_primary(n)
-    lists = [_first_per_asin(primary) if distinct else primary, *(_search_fallbacks(n) if fallback else [])]
-    return _ranked_rows(find_elements(pages.select("page_id", "html"), SEARCH), _first_filled(lists))
+    return _ranked_rows(search_link_lists(pages, n, fallback, distinct))
 
 
 def bestseller_links(pages: DataFrame, n: int = 10, fallback: bool = True) -> DataFrame:
     """Ranked links of best-seller pages, the first ``n`` by rank; a repeated product is kept here."""
     lists = [_bestseller_primary(), *(map(_bestseller_fallback, v.BESTSELLER_FALLBACK) if fallback else [])]
     found = find_elements(pages.select("page_id", "html"), BESTSELLERS, levels=v.BESTSELLER_CLIMB)
-    return _ranked_rows(found, _first_filled([F.slice(links, 1, n) for links in lists]))
+    return _ranked_rows(found.select("page_id", _first_filled([F.slice(links, 1, n) for links in lists]).alias("p")))
 
 
 def result_counts(pages: DataFrame, n: int = 10) -> DataFrame:
@@ -188,7 +199,7 @@ def first_per_asin(links: DataFrame, key: str = "page_id") -> DataFrame:
 
 def use_fallback(primary: DataFrame, fallback: DataFrame, key: str = "page_id") -> DataFrame:
     """All primary links, and the fallback links of pages that have no primary link."""
-    return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"))
+    return primary.unionByName(join_unique(fallback, primary.select(key).distinct(), key, "left_anti"))
 
 
 def check_ranks(links: DataFrame, key: str = "page_id") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from shopmill.functions import urls
 from shopmill.operators.catalog import stage_from_csv_columns, to_catalog, to_stage
 from shopmill.operators.extract import extract_products, split_throttled
-from shopmill.operators.rank import search_links
+from shopmill.operators.rank import search_link_lists
+from shopmill.operators.skew import join_unique
 from shopmill.session import HarvestSettings
 from shopmill.sources.csv_files import read_stage_csv
 
@@ -20,17 +21,12 @@ from shopmill.sources.csv_files import read_stage_csv
 class Harvest:
     """Tables of one run."""
 
+    products: DataFrame
     stage: DataFrame
     catalog: DataFrame
     runs: DataFrame
 
 
-def newest_per_url(links: DataFrame) -> DataFrame:
-    """Links of the newest stored copy of each search page."""
-    newest = links.groupBy("search_url").agg(F.max("page_id").alias("page_id"))
-    return links.join(newest, ["search_url", "page_id"], "left_semi")
-
-
 def _products_by_asin(pages: DataFrame, at: Column | None, limit: int) -> DataFrame:
     """One record per product: that of the newest stored page."""
     records = extract_products(pages, at=at, description_limit=limit).filter(F.col("asin").isNotNull())
@@ -49,57 +45,54 @@ def harvest(
     """Run the job over ``terms(term_pos, term)`` and ``pages(page_id, url, html)``.
 
     HTML never moves: search and product pages are read where they lie, and only their links and records are
-    joined. Links, staging rows and runs are written under ``work_dir`` (a folder that all executors share), so the
-    steps after them start from tables and neither parse a page again nor depend on an executor that may be lost.
+    joined. Link lists, products, staging rows and runs are written under ``work_dir`` (a folder that all executors share), so
+    the steps after them start from tables and neither parse a page again nor depend on an executor that may be lost.
     """
+    n = settings.products_per_page
     pages = pages.withColumn("url", urls.rewrite_host(F.col("url")))
-    search_pages = pages.filter(F.col("url").contains("/s?k="))
     seeds = terms.withColumn("search_url", urls.search_url(F.col("term")))
 
-    readable, _ = split_throttled(search_pages)
-    addresses = readable.select("page_id", F.col("url").alias("search_url"))
-    links_dir = os.path.join(work_dir, "links")
-    links = search_links(readable, settings.products_per_page).select("page_id", "rank", "pos", "asin", "url")
-    newest_per_url(links.join(addresses, "page_id")).write.mode("overwrite").parquet(links_dir)
-    links = seeds.join(spark.read.parquet(links_dir), "search_url")
-
-    products = _products_by_asin(
-        pages.filter(F.col("url").rlike(urls.ASIN_PATTERN)), at, settings.description_limit
-    ).drop("url", "category")
-    found = links.select("term_pos", "rank", "pos", "asin", "url", "search_url").join(products, "asin")
-    place = F.row_number().over(_list_order())
-    ranked = found.withColumn("place", place).withColumns(
-        {
-            "product_seq": F.col("term_pos").cast("bigint") * settings.products_per_page + F.col("place"),
-            "category": urls.category_from_search_url(F.col("search_url")),
-        }
+    readable, _ = split_throttled(pages.filter(F.col("url").contains("/s?k=")).withColumnRenamed("url", "search_url"))
+    lists = search_link_lists(readable, n, keep=("search_url",))
+    # of several stored copies of a search page the newest counts
+    newest = lists.groupBy("search_url").agg(F.max_by("p.links", "page_id").alias("links"))
+    newest = _written(newest.withColumn("stored", F.lit(True)), os.path.join(work_dir, "links"))
+    searched = join_unique(seeds, newest, "search_url", "left")
+
+    products = _products_by_asin(pages.filter(F.col("url").rlike(urls.ASIN_PATTERN)), at, settings.description_limit)
+    products = _written(products, os.path.join(work_dir, "products"))
+    # staging fields are worked out once per product, not once per list that the product stands in
+    staged = to_stage(products, key="asin", limit=settings.short_description_limit)
+    wanted = searched.select("term_pos", "search_url", F.posexplode("links").alias("place", "l")).select(
+        urls.category_from_search_url(F.col("search_url")).alias("category"),
+        (F.col("term_pos").cast("bigint") * n + F.col("place")).alias("product_seq"),
+        F.col("l.asin").alias("sku"),
+    )
+    found = join_unique(wanted, staged.drop("product_seq", "category"), "sku").select(*staged.columns)
+    stage = _written(found, os.path.join(work_dir, "stage"))
+
+    counts = stage.groupBy(F.expr(f"product_seq div {n}").cast("int").alias("term_pos")).agg(
+        F.count("*").alias("product_count")
     )
-    stage_dir = os.path.join(work_dir, "stage")
-    to_stage(ranked, limit=settings.short_description_limit).withColumn(
-        "term_pos", ((F.col("product_seq") - 1) / settings.products_per_page).cast("int")
-    ).write.mode("overwrite").parquet(stage_dir)
-    stage = spark.read.parquet(stage_dir)
-
-    counts = stage.groupBy("term_pos").agg(F.count("*").alias("product_count"))
-    stored = addresses.select("search_url").distinct().withColumn("stored", F.lit(True))
-    runs_dir = os.path.join(work_dir, "runs")
-    seeds.join(stored, "search_url", "left").join(counts, "term_pos", "left").select(
+    success = F.col("stored").isNotNull()
+    runs = searched.join(counts, "term_pos", "left").select(
         "term_pos",
         F.col("search_url").alias("url"),
-        F.col("stored").isNotNull().alias("success"),
-        F.when(F.col("stored").isNotNull(), urls.category_from_search_url(F.col("search_url"))).alias("category_name"),
+        success.alias("success"),
+        F.when(success, urls.category_from_search_url(F.col("search_url"))).alias("category_name"),
         F.lit(None).cast("double").alias("execution_time"),
         F.lit(None).cast("string").alias("worker"),
         F.coalesce("product_count", F.lit(0)).alias("product_count"),
-        F.when(F.col("stored").isNull(), F.lit("no readable page is stored for this URL")).alias("error"),
-    ).write.mode("overwrite").parquet(runs_dir)
-    return Harvest(stage, to_catalog(stage, settings.first_catalog_id), spark.read.parquet(runs_dir))
-
+        F.when(~success, F.lit("no readable page is stored for this URL")).alias("error"),
+    )
+    runs = _written(runs, os.path.join(work_dir, "runs"))
+    return Harvest(products, stage, to_catalog(stage, settings.first_catalog_id), runs)
 
-def _list_order():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("term_pos").orderBy("rank", "pos")
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows, from a table that the steps to come can read as often as they like."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def catalog_from_csv(spark: SparkSession, path: str, work_dir: str, first_id: int = 10000) -> DataFrame:
@@ -107,7 +100,5 @@ def catalog_from_csv(spark: SparkSession, path: str, work_dir: str, first_id: in
 
     Row numbers are fixed in a written table before they are used, because they depend on how files are split.
     """
-    table = os.path.join(work_dir, "stage_rows")
     rows = stage_from_csv_columns(read_stage_csv(spark, path), F.monotonically_increasing_id())
-    rows.write.mode("overwrite").parquet(table)
-    return to_catalog(spark.read.parquet(table), first_id)
+    return to_catalog(_written(rows, os.path.join(work_dir, "stage_rows")), first_id)

@@ -135,36 +135,38 @@ def product_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fields(name: str, sql: str, *columns) -> None:
-    """A query that asks for a few fields only; the others are not computed."""
+def _field_query(name: str, field: str, sql: str, *columns) -> None:
+    """A query that asks for one field only; the selectors of the others are not tried."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         wanted = [F.expr(text).alias(alias) for alias, text in columns]
-        return extract_products(product_pages(spark, sf_dir)).select("page_id", *wanted)
+        return extract_products(product_pages(spark, sf_dir), fields=[field]).select("page_id", *wanted)
 
     run.__name__ = name
     query(f"SELECT p_partkey AS page_id, {sql} FROM part")(run)
 
 
-_fields("product_titles", f"{_TITLE} AS title", ("title", "title"))
-_fields(
+_field_query("product_titles", "title", f"{_TITLE} AS title", ("title", "title"))
+_field_query(
     "product_prices",
+    "price",
     f"CAST({_NOW} AS VARCHAR) AS now, CAST({_OLD} AS VARCHAR) AS before",
     ("now", "cast(price.current_price AS string)"),
     ("before", "cast(price.original_price AS string)"),
 )
-_fields(
+_field_query(
     "savings_parse",
+    "price",
     f"{_AMOUNT} AS amount, {_PERCENT} AS percentage",
     ("amount", "cast(price.savings.amount AS string)"),
     ("percentage", "cast(price.savings.percentage AS double)"),
 )
-_fields("rating_parse", f"{_RATING} AS rating", ("rating", "rating"))
-_fields("review_count", f"CAST({_REVIEWS} AS BIGINT) AS review_count", ("review_count", "review_count"))
-_fields("description_sections", f"{_DESCRIPTION} AS description", ("description", "description"))
-_fields("main_image", f"{_IMAGE} AS image_url", ("image_url", "image_url"))
-_fields("brand_chain", f"{_BRAND} AS brand", ("brand", "brand"))
-_fields("availability", f"{_STATUS} AS availability", ("availability", "availability"))
+_field_query("rating_parse", "rating", f"{_RATING} AS rating", ("rating", "rating"))
+_field_query("review_count", "review_count", f"CAST({_REVIEWS} AS BIGINT) AS review_count", ("review_count", "review_count"))
+_field_query("description_sections", "description", f"{_DESCRIPTION} AS description", ("description", "description"))
+_field_query("main_image", "image_url", f"{_IMAGE} AS image_url", ("image_url", "image_url"))
+_field_query("brand_chain", "brand", f"{_BRAND} AS brand", ("brand", "brand"))
+_field_query("availability", "availability", f"{_STATUS} AS availability", ("availability", "availability"))
 
 
 @query(f"""
@@ -192,6 +194,5 @@ def readable_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = product_pages(spark, sf_dir)
     throttled = F.lit("Request was throttled. Please wait a moment and refresh the page in your browser")
     html = F.regexp_replace("html", 'id="productTitle"|nav-search-label', 'class="none"')
-    return extract_products(
-        pages.withColumn("html", F.when(F.col("page_id") % 10 == 0, F.concat("html", throttled)).otherwise(html))
-    ).select("page_id")
+    changed = F.when(F.col("page_id") % 10 == 0, F.concat("html", throttled)).otherwise(html)
+    return extract_products(pages.withColumn("html", changed), fields=[]).select("page_id")
