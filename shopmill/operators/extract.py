@@ -46,7 +46,7 @@ def split_throttled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def find_elements(pages: DataFrame, selectors: SelectorSet, levels: int = 0) -> DataFrame:
     """Pages with their ``elements`` and the ``hits`` of the selectors among them; ``html`` is gone."""
-    return with_computed(shred(pages, *selectors.probes(), levels), "hits", selectors.hits())
+    return with_computed(shred(pages, selectors.probes, levels), "hits", selectors.hits())
 
 
 class ProductFields:
@@ -162,7 +162,7 @@ def content_type_column(element: Column) -> Column:
         marks = F.lower(F.concat_ws("\n", e["id"], attribute(e, "class")))
         return F.coalesce(*(F.when(F.contains(marks, F.lit(key)), F.lit(label)) for key, label in v.CONTENT_TYPES))
 
-    parent = F.get(F.filter("elements", lambda p: p["pos"] == element["parent_pos"]), 0)
+    parent = F.get("elements", F.try_element_at(element["up"], F.lit(-1)))
     return F.coalesce(kind(element), let(parent, kind))
 
 
@@ -262,6 +262,6 @@ def select_elements(pages: DataFrame, selectors: list[Selector], chain: bool = T
             F.explode(F.transform("found", lambda i: F.get("elements", i))).alias("e"),
         )
         keys = ["page_id", "priority"]
-    return rows.select(*keys, F.col("e").dropFields("idx").alias("e"), "text").select(
+    return rows.select(*keys, F.col("e").dropFields("up").alias("e"), "text").select(
         *keys, "e.*", safe_text(F.col("text"), F.col("e")).alias("text")
     )

@@ -7,41 +7,36 @@ third of all links does not land in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmill.functions import urls
-from shopmill.functions.columns import first_group, let
+from shopmill.functions.columns import let, unless_blank
 from shopmill.operators.extract import find_elements
-from shopmill.operators.select import Selector, SelectorSet, attribute, inside
+from shopmill.operators.select import Selector, SelectorSet, attribute, element, first_inside
 from shopmill.operators.shred import slice_text
 from shopmill.operators.skew import join_unique
 from shopmill.plans import vocabulary as v
 
-
 _PAIRS = [("CSS_SELECTOR", text) for pair in v.SEARCH_FALLBACK for text in pair]
 SEARCH = SelectorSet([v.SEARCH_ITEM, v.SPONSORED, v.PRODUCT_LINK], v.SEARCH_RANK, _PAIRS)
 BESTSELLERS = SelectorSet([v.BESTSELLER_BADGE, v.BESTSELLER_CARD, v.PRODUCT_LINK], v.BESTSELLER_FALLBACK)
 COUNTED = SelectorSet([v.UNSPONSORED_ITEM])
 
 
-def _first_inside(elements: Column, outer: Column) -> Column:
-    return F.get(F.filter(elements, lambda e: inside(e, outer)), 0)
-
+def _asin_at(index: Column) -> Column:
+    return unless_blank(F.regexp_extract(attribute(element(index), "href"), urls.ASIN_PATTERN, 1))
 
-def _asin_of(link: Column) -> Column:
-    return urls.extract_asin(attribute(link, "href"))
 
-
-def _number_in(text: Column) -> Column:
-    return first_group(text, r"(\d+)").try_cast("int")
+def _number_at(index: Column, what: str = "text") -> Column:
+    shown = let(element(index), lambda e: slice_text(F.col(what), e, what))
+    return unless_blank(F.regexp_extract(shown, r"(\d+)", 1)).try_cast("int")
 
 
 def _link(rank: Column, pos: Column, asin: Column) -> Column:
-    return F.struct(
-        rank.cast("int").alias("rank"), pos.cast("int").alias("pos"), asin.alias("asin"),
-        urls.product_url(asin).alias("url"),
-    )
+    return F.struct(rank.cast("int").alias("rank"), pos.cast("int").alias("pos"), asin.alias("asin"))
 
 
 def _first_per_asin(links: Column) -> Column:
@@ -51,26 +46,25 @@ def _first_per_asin(links: Column) -> Column:
 def _search_primary(n: int) -> Column:
     """Unsponsored result items by badge rank, else by position among all items; the first ``n``."""
 
-    def ranked(items: Column, links: Column, sponsored: Column, badges: Column) -> Column:
+    def ranked(p: Column) -> Column:
         def describe(item: Column, i: Column) -> Column:
-            badge = F.get(F.filter(F.transform(badges, lambda b: _first_inside(b, item)), lambda b: b.isNotNull()), 0)
-            rank = F.coalesce(let(badge, lambda b: _number_in(slice_text(F.col("text"), b))), i + 1)
+            badge = F.coalesce(*(first_inside(p[f"badge{b}"], item) for b in range(len(v.SEARCH_RANK))))
+            rank = F.coalesce(_number_at(badge), i + 1)
             return F.struct(
-                F.exists(sponsored, lambda s: inside(s, item)).alias("sponsored"),
-                _link(rank, i + 1, let(_first_inside(links, item), _asin_of)).alias("link"),
+                F.array_contains(p["sponsored"]["outer"], item).alias("sponsored"),
+                _link(rank, i + 1, _asin_at(first_inside(p["links"], item))).alias("link"),
             )
 
-        described = F.transform(items, describe)
+        described = F.transform(SEARCH.indexes(v.SEARCH_ITEM), describe)
         kept = F.filter(described, lambda d: d["link"]["asin"].isNotNull() & ~d["sponsored"])
         return F.slice(F.array_sort(F.transform(kept, lambda d: d["link"])), 1, n)
 
-    badges = F.array(*(SEARCH.all(selector) for selector in v.SEARCH_RANK))
     return let(
         F.struct(
-            SEARCH.all(v.SEARCH_ITEM).alias("items"), SEARCH.all(v.PRODUCT_LINK).alias("links"),
-            SEARCH.all(v.SPONSORED).alias("sponsored"), badges.alias("badges"),
+            SEARCH.contained(v.PRODUCT_LINK).alias("links"), SEARCH.contained(v.SPONSORED).alias("sponsored"),
+            *(SEARCH.contained(selector).alias(f"badge{b}") for b, selector in enumerate(v.SEARCH_RANK)),
         ),
-        lambda p: ranked(p["items"], p["links"], p["sponsored"], p["badges"]),
+        ranked,
     )
 
 
@@ -82,54 +76,47 @@ def _in_order(asins: Column, n: int) -> Column:
 
 def _search_fallbacks(n: int) -> list[Column]:
     def pair(container: str, link: str) -> Column:
+        containers = SEARCH.indexes(("CSS_SELECTOR", container))
         return let(
-            SEARCH.all(("CSS_SELECTOR", link)),
-            lambda links: F.transform(
-                SEARCH.all(("CSS_SELECTOR", container)), lambda c: let(_first_inside(links, c), _asin_of)
-            ),
+            SEARCH.contained(("CSS_SELECTOR", link)),
+            lambda links: F.transform(containers, lambda c: _asin_at(first_inside(links, c))),
         )
 
     by_pair = [_in_order(pair(container, link), n) for container, link in v.SEARCH_FALLBACK]
-    return [*by_pair, _in_order(F.transform(SEARCH.all(v.PRODUCT_LINK), _asin_of), n)]
+    return [*by_pair, _in_order(F.transform(SEARCH.indexes(v.PRODUCT_LINK), _asin_at), n)]
 
 
-def _bestseller_primary() -> Column:
-    """Badge rank and the first link of the nearest card around (or at) the badge."""
+def _bestsellers(selector: Selector, around: Callable[[Column, Column], Column], what: str) -> Column:
+    """Badge rank and the first link of the element that ``around(badge, links)`` gives for the badge."""
 
-    def ranked(cards: Column, links: Column) -> Column:
-        def describe(badge: Column, i: Column) -> Column:
-            around = F.filter(cards, lambda c: (c["pos"] == badge["pos"]) | inside(badge, c))
-            card = F.try_element_at(around, F.lit(-1))
-            asin = let(card, lambda c: let(_first_inside(links, c), _asin_of))
-            return _link(_number_in(slice_text(F.col("text"), badge)), i + 1, asin)
-
-        return F.transform(BESTSELLERS.all(v.BESTSELLER_BADGE), describe)
+    def describe(links: Column, badge: Column, i: Column) -> Column:
+        return _link(_number_at(badge, what), i + 1, _asin_at(first_inside(links, around(badge, links))))
 
     found = let(
-        F.struct(BESTSELLERS.all(v.BESTSELLER_CARD).alias("cards"), BESTSELLERS.all(v.PRODUCT_LINK).alias("links")),
-        lambda p: ranked(p["cards"], p["links"]),
+        BESTSELLERS.contained(v.PRODUCT_LINK),
+        lambda links: F.transform(BESTSELLERS.indexes(selector), lambda badge, i: describe(links, badge, i)),
     )
     return F.array_sort(F.filter(found, lambda l: l["asin"].isNotNull() & l["rank"].isNotNull()))
 
 
-def _bestseller_fallback(badge_selector: Selector) -> Column:
-    """Badge rank and the first link of the nearest of five ancestors that holds a link."""
+def _nearest_card(badge: Column, links: Column) -> Column:
+    """The badge itself or the nearest element around it that is a card."""
+    line = F.concat(element(badge)["up"], F.array(badge))
+    cards = BESTSELLERS.indexes(v.BESTSELLER_CARD)
+    return F.array_max(F.filter(line, lambda a: F.array_contains(cards, a)))
 
-    def ranked(links: Column) -> Column:
-        def describe(badge: Column, i: Column) -> Column:
-            above = F.filter(
-                "elements",
-                lambda a: inside(badge, a)
-                & (badge["depth"] - a["depth"] <= v.BESTSELLER_CLIMB)
-                & F.exists(links, lambda l: inside(l, a)),
-            )
-            asin = let(F.try_element_at(above, F.lit(-1)), lambda a: let(_first_inside(links, a), _asin_of))
-            return _link(_number_in(slice_text(F.col("shown"), badge, "shown")), i + 1, asin)
 
-        return F.transform(BESTSELLERS.all(badge_selector), describe)
+def _nearest_with_link(badge: Column, links: Column) -> Column:
+    """The nearest of five ancestors that holds a link."""
+    depth = element(badge)["depth"]
+    near = F.filter(element(badge)["up"], lambda a: depth - element(a)["depth"] <= v.BESTSELLER_CLIMB)
+    return F.array_max(F.filter(near, lambda a: F.array_contains(links["outer"], a)))
 
-    found = let(BESTSELLERS.all(v.PRODUCT_LINK), ranked)
-    return F.array_sort(F.filter(found, lambda l: l["asin"].isNotNull() & l["rank"].isNotNull()))
+
+def _bestseller_lists(fallback: bool) -> list[Column]:
+    first = _bestsellers(v.BESTSELLER_BADGE, _nearest_card, "text")
+    others = v.BESTSELLER_FALLBACK if fallback else []
+    return [first, *(_bestsellers(selector, _nearest_with_link, "shown") for selector in others)]
 
 
 def _first_filled(lists: list[Column]) -> Column:
@@ -144,7 +131,7 @@ def _first_filled(lists: list[Column]) -> Column:
 
 def _ranked_rows(lists: DataFrame) -> DataFrame:
     return lists.select("page_id", F.col("p.source").alias("source"), F.explode("p.links").alias("l")).select(
-        "page_id", "source", "l.*"
+        "page_id", "source", "l.*", urls.product_url(F.col("l.asin")).alias("url")
     )
 
 
@@ -172,14 +159,13 @@ def search_links(pages: DataFrame, n: int = 10, fallback: bool = True, distinct:
 
 def bestseller_links(pages: DataFrame, n: int = 10, fallback: bool = True) -> DataFrame:
     """Ranked links of best-seller pages, the first ``n`` by rank; a repeated product is kept here."""
-    lists = [_bestseller_primary(), *(map(_bestseller_fallback, v.BESTSELLER_FALLBACK) if fallback else [])]
     found = find_elements(pages.select("page_id", "html"), BESTSELLERS, levels=v.BESTSELLER_CLIMB)
-    return _ranked_rows(found.select("page_id", _first_filled([F.slice(links, 1, n) for links in lists]).alias("p")))
+    return _ranked_rows(found.select("page_id", _first_filled([F.slice(links, 1, n) for links in _bestseller_lists(fallback)]).alias("p")))
 
 
 def result_counts(pages: DataFrame, n: int = 10) -> DataFrame:
     """Unsponsored result items per search page, and whether they are enough for a list of ``n``."""
-    items = F.size(COUNTED.all(v.UNSPONSORED_ITEM))
+    items = F.size(COUNTED.indexes(v.UNSPONSORED_ITEM))
     return find_elements(pages.select("page_id", "html"), COUNTED).select(
         "page_id", items.alias("items"), (items >= n).alias("enough")
     )

@@ -103,7 +103,16 @@ def _quote(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _literal(selector: Selector) -> str:
+def _probe(tests: list[Test]) -> str:
+    """What a start tag must hold to pass the tests: the first that applies of id, class, attribute and tag."""
+    for kinds in (["id"], ["class"], ["equals", "part", "has"]):
+        for kind, name, value, negated in tests:
+            if kind in kinds and not negated and (value or name):
+                return value or name
+    return "<" + next((value for kind, _, value, negated in tests if kind == "tag" and not negated), "")
+
+
+def _literal(selector: Selector, probes: list[str]) -> str:
     """A selector as a constant: array of alternatives, each an array of steps."""
     chains = []
     for chain in steps_of(selector):
@@ -114,35 +123,39 @@ def _literal(selector: Selector) -> str:
                 f"'negated', {str(negated).lower()})"
                 for kind, name, value, negated in tests or [("any", None, None, False)]
             )
-            steps.append(f"named_struct('relation', {_quote(relation)}, 'tests', array({items}))")
+            probe = -1 if relation == "parent" else probes.index(_probe(tests))
+            steps.append(f"named_struct('relation', {_quote(relation)}, 'probe', {probe}, 'tests', array({items}))")
         chains.append(f"array({', '.join(steps)})")
     return f"array({', '.join(chains)})"
 
 
-# t is a test, e an element. A test on something that the element lacks is false.
-_TEST = """coalesce(case t.kind
-    when 'class' then array_contains(e.classes, t.value)
-    when 'id' then e.id = t.value
-    when 'tag' then e.tag = t.value
-    when 'equals' then try_element_at(e.attrs, t.name) = t.value
-    when 'part' then contains(try_element_at(e.attrs, t.name), t.value)
-    when 'has' then map_contains_key(e.attrs, t.name)
-    when 'text' then contains(substring(text, e.text_at + 1, e.text_len), t.value)
-    when 'nth' then e.nth = cast(t.value as int)
-    when 'first-child' then e.child = 1
-    when 'last-child' then e.last_child
+# i is the index of an element, t a test. A test on something that the element lacks is false.
+_E = "get(elements, i)"
+_TEST = f"""coalesce(case t.kind
+    when 'class' then array_contains({_E}.classes, t.value)
+    when 'id' then {_E}.id = t.value
+    when 'tag' then {_E}.tag = t.value
+    when 'equals' then try_element_at({_E}.attrs, t.name) = t.value
+    when 'part' then contains(try_element_at({_E}.attrs, t.name), t.value)
+    when 'has' then map_contains_key({_E}.attrs, t.name)
+    when 'text' then contains(substring(text, {_E}.text_at + 1, {_E}.text_len), t.value)
+    when 'nth' then {_E}.nth = cast(t.value as int)
+    when 'first-child' then {_E}.child = 1
+    when 'last-child' then {_E}.last_child
     else true end, false) != t.negated"""
 
-# p is the index of an element that the step before found.
-_RELATED = """case step.relation
-    when 'first' then true
-    when 'inside' then exists(found, p -> e.pos > get(elements, p).pos and e.pos <= get(elements, p).end_pos)
-    when 'child' then exists(found, p -> e.parent_pos = get(elements, p).pos)
-    else exists(found, p -> e.pos = get(elements, p).parent_pos) end"""
+# The elements that the step before found are in before; a step back to the parents starts from them.
+_CANDIDATES = """if(step.relation = 'parent',
+    filter(transform(before, b -> try_element_at(get(elements, b).up, -1)), a -> a is not null),
+    get(having, step.probe))"""
+_RELATED = f"""case step.relation
+    when 'inside' then exists({_E}.up, a -> array_contains(before, a))
+    when 'child' then exists({_E}.up, a -> array_contains(before, a) and get(elements, a).pos = {_E}.parent_pos)
+    else true end"""
 
 _HITS = f"""transform(%s, selector -> array_sort(array_distinct(flatten(transform(selector, chain ->
-    aggregate(chain, cast(array() as array<int>), (found, step) -> transform(
-        filter(elements, e -> forall(step.tests, t -> {_TEST}) and {_RELATED}), e -> e.idx)))))))"""
+    aggregate(chain, cast(array() as array<int>), (before, step) -> filter(
+        {_CANDIDATES}, i -> forall(step.tests, t -> {_TEST}) and {_RELATED})))))))"""
 
 
 class SelectorSet:
@@ -151,29 +164,27 @@ class SelectorSet:
     def __init__(self, *groups: list[Selector]) -> None:
         self.selectors = list(dict.fromkeys(selector for group in groups for selector in group))
 
-    def probes(self) -> tuple[list[str], list[str]]:
-        """Literals and tag names for ``shred`` that keep every element these selectors look at."""
-        literals, tags = set(), set()
-        for selector in self.selectors:
-            for _, tests in (step for chain in steps_of(selector) for step in chain):
-                wanted = [test for test in tests if not test[3]]
-                for kinds in (["id"], ["class"], ["equals", "part", "has"], ["tag"]):
-                    match = next((test for test in wanted if test[0] in kinds), None)
-                    if match:
-                        (tags if kinds == ["tag"] else literals).add(match[2] or match[1])
-                        break
-        return sorted(literals), sorted(tags)
+        steps = [step for selector in self.selectors for chain in steps_of(selector) for step in chain]
+        self.probes = sorted({_probe(tests) for relation, tests in steps if relation != "parent"})
 
     def hits(self) -> Column:
         """For each selector the indexes, in document order, of the elements that it matches."""
-        return F.expr(_HITS % f"array({', '.join(map(_literal, self.selectors))})")
+        return F.expr(_HITS % f"array({', '.join(_literal(selector, self.probes) for selector in self.selectors)})")
 
     def _places(self, selectors: list[Selector]) -> str:
         return ", ".join(str(self.selectors.index(selector)) for selector in selectors)
 
-    def all(self, selector: Selector) -> Column:
-        """Elements of one selector in document order."""
-        return F.expr(f"transform(get(hits, {self._places([selector])}), i -> get(elements, i))")
+    def indexes(self, selector: Selector) -> Column:
+        """Indexes of the elements of one selector in document order."""
+        return F.expr(f"get(hits, {self._places([selector])})")
+
+    def contained(self, selector: Selector) -> Column:
+        """Pairs of an element around (``outer``) and an element of the selector (``inner``), as two arrays."""
+        found, up = f"get(hits, {self._places([selector])})", "get(elements, i).up"
+        return F.expr(
+            f"named_struct('outer', flatten(transform({found}, i -> {up})), "
+            f"'inner', flatten(transform({found}, i -> transform({up}, a -> i))))"
+        )
 
     def _first(self, selectors: list[Selector], visible: bool) -> str:
         firsts = f"transform(array({self._places(selectors)}), n -> get(elements, get(get(hits, n), 0)))"
@@ -199,9 +210,13 @@ class SelectorSet:
         return F.expr(f"transform({indexes}, i -> get(elements, i))")
 
 
-def inside(inner: Column, outer: Column) -> Column:
-    """True when ``inner`` is a proper descendant of ``outer``."""
-    return (inner["pos"] > outer["pos"]) & (inner["pos"] <= outer["end_pos"])
+def element(index: Column) -> Column:
+    return F.get("elements", index)
+
+
+def first_inside(pairs: Column, outer: Column) -> Column:
+    """Index of the first element of ``contained`` pairs that lies inside the element with index ``outer``."""
+    return F.get(pairs["inner"], (F.array_position(pairs["outer"], outer) - 1).cast("int"))
 
 
 def safe_text(page_text: Column, element: Column) -> Column:

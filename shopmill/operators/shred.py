@@ -2,7 +2,8 @@
 
 Each page stays one row, so everything that compares elements of a page (ancestors, first match, ranking)
 runs inside the row and needs no shuffle. Subtree texts are not copied into the elements: an element holds
-offsets into the two page texts, so the output stays linear in the page however deep it nests.
+offsets into the two page texts, so the texts stay linear in the page however deep it nests. Elements refer to each
+other by index in the array; ``up`` lists the kept ancestors, the outermost first.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -21,13 +24,13 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENT_DDL = (
-    "struct<idx:int,pos:int,end_pos:int,parent_pos:int,depth:int,tag:string,nth:int,child:int,last_child:boolean,"
+    "struct<up:array<int>,pos:int,end_pos:int,parent_pos:int,depth:int,tag:string,nth:int,child:int,last_child:boolean,"
     "id:string,classes:array<string>,attrs:map<string,string>,text_at:int,text_len:int,shown_at:int,"
     "shown_len:int,visible:boolean>"
 )
 ELEMENT_ARROW = pa.struct(
     [
-        ("idx", pa.int32()), ("pos", pa.int32()), ("end_pos", pa.int32()), ("parent_pos", pa.int32()), ("depth", pa.int32()),
+        ("up", pa.list_(pa.int32())), ("pos", pa.int32()), ("end_pos", pa.int32()), ("parent_pos", pa.int32()), ("depth", pa.int32()),
         ("tag", pa.string()), ("nth", pa.int32()), ("child", pa.int32()), ("last_child", pa.bool_()),
         ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
         ("text_at", pa.int32()), ("text_len", pa.int32()), ("shown_at", pa.int32()), ("shown_len", pa.int32()),
@@ -80,6 +83,9 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+ALL: tuple[int, ...] = ()  # an element kept for another reason than a probe
+
+
 class _Open:
     """An element whose end tag has not been seen."""
 
@@ -92,9 +98,10 @@ class _Page:
 
     def __init__(self) -> None:
         self.root = _Open()
-        self.root.counts, self.root.children, self.root.last, self.root.keep = {}, 0, None, False
+        self.root.counts, self.root.children, self.root.last, self.root.keep = {}, 0, None, None
         self.root.hidden = self.root.unshown = False
         self.stack: list[_Open] = []
+        self.opened: dict[str, int] = {}  # open elements by tag
         self.rows: list[list | None] = []
         self.text: list[str] = []
         self.shown: list[str] = []
@@ -125,16 +132,19 @@ class _Page:
     def open(self, tag: str, source: str, wanted, levels: int) -> _Open:
         parent = self.stack[-1] if self.stack else self.root
         item = _Open()
-        item.tag, item.source, item.pos, item.row, item.depth = tag, source, len(self.rows), len(self.rows), len(self.stack)
-        item.counts, item.children, item.last = {}, 0, None
-        parent.children += 1
-        parent.counts[tag] = parent.counts.get(tag, 0) + 1
-        item.child, item.nth, parent.last = parent.children, parent.counts[tag], item.row
+        item.tag, item.source, item.depth = tag, source, len(self.stack)
+        item.pos = item.row = parent.last = len(self.rows)
+        item.counts, item.children, item.last = None, 0, None
+        counts = parent.counts
+        if counts is None:
+            counts = parent.counts = {}
+        item.nth = counts[tag] = counts.get(tag, 0) + 1
+        item.child = parent.children = parent.children + 1
         self.rows.append(None)
-        item.keep = wanted is None or wanted(tag, source)
-        if item.keep and levels:
+        item.keep = ALL if wanted is None else wanted(tag, source)
+        if item.keep is not None and levels:
             for ancestor in self.stack[-levels:]:
-                ancestor.keep = True
+                ancestor.keep = ancestor.keep or ALL
         item.hidden, item.unshown = parent.hidden, parent.unshown or tag in UNSHOWN
         if not item.hidden and ("hidden" in source or "none" in source):
             attrs = _attributes(source)
@@ -156,13 +166,13 @@ class _Page:
         """Finish an element: its subtree is complete."""
         if item.last is not None and self.rows[item.last]:
             self.rows[item.last][7] = True
-        if item.keep:
+        if item.keep is not None:
             attrs = _attributes(item.source)
             self.rows[item.row] = [
                 item.pos, len(self.rows) - 1, parent_pos, item.depth, item.tag, item.nth, item.child, False,
-                attrs.get("id"), attrs.get("class", "").split(), list(attrs.items()),
+                attrs.get("id"), attrs.get("class", "").split(), attrs,
                 item.text_at, self.text_len - item.text_at, item.shown_at, self.shown_len - item.shown_at,
-                not item.hidden,
+                not item.hidden, item.keep,
             ]
         if item.tag in BLOCK:
             self.break_line(item)
@@ -170,11 +180,14 @@ class _Page:
     def pop_to(self, size: int) -> None:
         while len(self.stack) > size:
             item = self.stack.pop()
+            self.opened[item.tag] -= 1
             self.close(item, self.stack[-1].pos if self.stack else None)
 
     def imply_ends(self, tag: str) -> None:
         """End the open elements that a start tag ends without saying so."""
         ended, protected = IMPLIED_ENDS[tag]
+        if not any(map(self.opened.get, ended)):
+            return
         lowest = None
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag in ended:
@@ -186,6 +199,8 @@ class _Page:
 
     def end(self, tag: str) -> None:
         """Apply an end tag; one without a start tag in reach is ignored."""
+        if not self.opened.get(tag):
+            return
         limits = (
             () if tag == "table" else ("table",) if tag in TABLE_PARTS else SCOPE if tag in BLOCK else INLINE_LIMITS
         )
@@ -197,8 +212,8 @@ class _Page:
                 return
 
 
-def _shred(html: str, wanted, levels: int) -> tuple[str, str, list]:
-    """Texts and elements of one page; ``wanted(tag, attribute_source)`` says which elements to keep."""
+def _read(html: str, wanted, levels: int) -> _Page:
+    """Take a page apart; ``wanted(tag, attribute_source)`` gives the probes of an element to keep, else None."""
     page, at = _Page(), 0
     while token := TOKEN.search(html, at):
         if token.start() > at:
@@ -216,6 +231,7 @@ def _shred(html: str, wanted, levels: int) -> tuple[str, str, list]:
                 page.close(item, page.stack[-1].pos if page.stack else None)
                 continue
             page.stack.append(item)
+            page.opened[tag] = page.opened.get(tag, 0) + 1
             if tag in RAW:
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
                 raw, at = html[at : end.start() if end else len(html)], end.end() if end else len(html)
@@ -226,57 +242,114 @@ def _shred(html: str, wanted, levels: int) -> tuple[str, str, list]:
     page.pop_to(0)
     if page.root.last is not None and page.rows[page.root.last]:
         page.rows[page.root.last][7] = True
-    return "".join(page.text), "".join(page.shown), [row for row in page.rows if row]
-
-
-def _keeper(literals: list[str], tags: frozenset[str]):
-    """Test for elements that a selector might ask for; it may keep too many, never too few."""
-    pattern = re.compile("|".join(re.escape(text) for text in literals)) if literals else None
-    known: dict[str, bool] = {}
-
-    def wanted(tag: str, source: str) -> bool:
+    return page
+
+
+def _shred(html: str, wanted, levels: int, probes: int = 0) -> tuple[str, str, list[tuple], list[list[int]]]:
+    """Texts and kept elements of a page, and for each probe the indexes of the elements that have it."""
+    page = _read(html, wanted, levels)
+    elements: list[tuple] = []
+    having: list[list[int]] = [[] for _ in range(probes)]
+    around: list[tuple[int, int]] = []  # last position and index of the kept elements around the current one
+    for row in filter(None, page.rows):
+        while around and around[-1][0] < row[0]:
+            around.pop()
+        for probe in row.pop():
+            having[probe].append(len(elements))
+        elements.append(([index for _, index in around], *row))
+        around.append((row[1], len(elements) - 1))
+    return "".join(page.text), "".join(page.shown), elements, having
+
+
+def _lists(values: Iterable, kind: pa.DataType, lengths: Iterable[int]) -> pa.ListArray:
+    """Lists of the given lengths, cut from one long run of values."""
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int32)
+    flat = values if isinstance(values, pa.Array) else pa.array(list(values), kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
+def _element_array(pages: list[list[tuple]]) -> pa.ListArray:
+    """Element lists of pages, built column by column."""
+    columns = list(zip(*chain.from_iterable(pages))) or [()] * len(ELEMENT_ARROW)
+    arrays = []
+    for field, column in zip(ELEMENT_ARROW, columns):
+        if pa.types.is_list(field.type):
+            arrays.append(_lists(chain.from_iterable(column), field.type.value_type, map(len, column)))
+        elif pa.types.is_map(field.type):
+            keys = _lists(chain.from_iterable(column), pa.string(), map(len, column))
+            items = pa.array(list(chain.from_iterable(map(dict.values, column))), pa.string())
+            arrays.append(pa.MapArray.from_arrays(keys.offsets, keys.values, items))
+        else:
+            arrays.append(pa.array(column, field.type))
+    elements = pa.StructArray.from_arrays(arrays, fields=list(ELEMENT_ARROW))
+    return _lists(elements, ELEMENT_ARROW, map(len, pages))
+
+
+def _keeper(probes: list[str]):
+    """Which probes an element has: ``<td`` asks for the tag, ``<`` for any element, other texts for a literal.
+
+    A literal counts wherever it stands in the start tag, so a probe may report too many elements, never too few.
+    """
+    tags = {text[1:]: i for i, text in enumerate(probes) if text.startswith("<")}
+    literals = [(i, text) for i, text in enumerate(probes) if not text.startswith("<")]
+    anything = re.compile("|".join(re.escape(text) for _, text in literals)) if literals else None
+    always = (tags.pop(""),) if "" in tags else None
+    known: dict[tuple[str, str], tuple[int, ...] | None] = {}
+
+    def look(tag: str, source: str) -> tuple[int, ...] | None:
+        source = entities.unescape(source)
+        found = always or ()
+        if anything is not None and anything.search(source):
+            found += tuple(i for i, text in literals if text in source)
         if tag in tags:
-            return True
-        if pattern is None or not source:
-            return False
-        answer = known.get(source)
-        if answer is None:
-            answer = pattern.search(entities.unescape(source)) is not None
-            if len(known) < 20000 and len(source) < 200:
-                known[source] = answer
+            found += (tags[tag],)
+        return found or None
+
+    def wanted(tag: str, source: str) -> tuple[int, ...] | None:
+        key = (tag, source)
+        if key in known:
+            return known[key]
+        answer = look(tag, source)
+        if len(known) < 20000 and len(source) < 200:
+            known[key] = answer
         return answer
 
     return wanted
 
 
-def shred(pages: DataFrame, literals: list[str] | None = None, tags: list[str] | None = None, levels: int = 0) -> DataFrame:
+def shred(pages: DataFrame, probes: list[str] | None = None, levels: int = 0) -> DataFrame:
     """Replace ``html`` by ``text``, ``shown`` (rendered text) and ``elements``; other columns pass through.
 
-    With ``literals`` and ``tags`` only elements whose start tag holds one of the literals, or whose name is one
-    of the tags, are kept (and ``levels`` ancestors of each), which keeps the arrays of a real page short.
+    With ``probes`` only elements that have a probe (and ``levels`` ancestors of each) are kept, which makes the
+    arrays of a real page short, and ``having`` lists, for each probe, the indexes of its elements.
     """
     others = [field for field in pages.schema.fields if field.name != "html"]
     names = [field.name for field in others]
-    prune, kept_tags = literals is not None or tags is not None, frozenset(tags or ())
-    literals = list(literals or ())
+    asked = list(probes or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _keeper(literals, kept_tags) if prune else None
+        wanted = None if probes is None else _keeper(asked)
         for batch in batches:
             for start in range(0, batch.num_rows, PAGES_PER_BATCH):
                 part = batch.slice(start, PAGES_PER_BATCH)
-                found = [_shred(h or "", wanted, levels) for h in part.column("html").to_pylist()]
+                found = [_shred(h or "", wanted, levels, len(asked)) for h in part.column("html").to_pylist()]
                 made = [
                     pa.array([f[0] for f in found], pa.string()),
                     pa.array([f[1] for f in found], pa.string()),
-                    pa.array([[(i, *row) for i, row in enumerate(f[2])] for f in found], pa.list_(ELEMENT_ARROW)),
+                    _element_array([f[2] for f in found]),
+                    _lists(
+                        _lists(chain.from_iterable(chain.from_iterable(f[3] for f in found)), pa.int32(),
+                               [len(indexes) for f in found for indexes in f[3]]),
+                        pa.list_(pa.int32()), [len(asked)] * len(found),
+                    ),
                 ]
                 arrays = [part.column(name) for name in names] + made
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "text", "shown", "elements"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "text", "shown", "elements", "having"])
 
     carried = [f"`{field.name}` {field.dataType.simpleString()}" for field in others]
-    schema = ", ".join([*carried, "text string", "shown string", f"elements array<{ELEMENT_DDL}>"])
-    return pages.select(*names, "html").mapInArrow(run, schema)
+    made = ["text string", "shown string", f"elements array<{ELEMENT_DDL}>", "having array<array<int>>"]
+    shredded = pages.select(*names, "html").mapInArrow(run, ", ".join([*carried, *made]))
+    return shredded.drop("having") if probes is None else shredded
 
 
 def slice_text(page_text: Column, element: Column, what: str = "text") -> Column:
@@ -287,4 +360,4 @@ def slice_text(page_text: Column, element: Column, what: str = "text") -> Column
 def elements_table(shredded: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per element of each page, for analysis by element."""
     rows = shredded.select(key, "text", F.explode("elements").alias("e"))
-    return rows.select(key, F.col("e").dropFields("idx").alias("e"), "text").select(key, "e.*", slice_text(F.col("text"), F.col("e")).alias("text"))
+    return rows.select(key, F.col("e").dropFields("up").alias("e"), "text").select(key, "e.*", slice_text(F.col("text"), F.col("e")).alias("text"))

@@ -156,18 +156,22 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search page per term, listing five products, of which the last may not be stored."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 5 <> 3").selectExpr(
+    """A search page per term, listing five products, some of which are not stored; some pages are throttled."""
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey + 1000000000 AS page_id",
-        "concat('https://www.amazon.cn/s?k=term+', p_partkey, '&s=exact-aware-popularity-rank&language=en_US&currency=USD') AS url",
+        """concat('https://www.amazon.cn/s?k=term+', p_partkey,
+            '&s=exact-aware-popularity-rank&language=en_US&currency=USD') AS url""",
         """concat('<body>', array_join(transform(sequence(0, 4), i -> concat(
             '<div data-component-type="s-search-result"><a href="/dp/B', lpad(p_partkey + i, 9, '0'), '">t</a></div>')), ''),
+            if(p_partkey % 5 = 3, 'Request was throttled. Please wait a moment and refresh the page', ''),
             '</body>') AS html""",
     )
 
 
 def _harvest(spark: SparkSession, sf_dir: str):
-    terms = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS int) AS term_pos", "concat('term ', p_partkey) AS term")
+    terms = table(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey AS int) AS term_pos", "concat('term ', p_partkey) AS term"
+    )
     pages = product_pages(spark, sf_dir).unionByName(search_pages(spark, sf_dir))
     return harvest(spark, terms, pages, work_folder(spark))
 

@@ -127,18 +127,20 @@ def enough_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Line items as ranked links: an order is a page, a line's quantity its rank, a part a product.
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _links(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page_id"),
         F.col("l_quantity").cast("int").alias("rank"),
         F.expr("cast(l_linenumber AS bigint) * 1000000000 + l_partkey * 1000 + l_suppkey").alias("pos"),
         F.expr("concat('B', lpad(l_partkey % 40, 9, '0'))").alias("asin"),
+        *map(F.expr, extra),
     )
 
 
 _LINKS_SQL = """(SELECT l_orderkey AS page_id, CAST(l_quantity AS INTEGER) AS rank,
     CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS pos,
-    'B' || lpad(CAST(l_partkey % 40 AS VARCHAR), 9, '0') AS asin FROM lineitem)"""
+    'B' || lpad(CAST(l_partkey % 40 AS VARCHAR), 9, '0') AS asin, l_returnflag = 'R' AS returned
+    FROM lineitem)"""
 
 
 @query(f"""
@@ -162,14 +164,15 @@ def first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH links AS {_LINKS_SQL}
-SELECT page_id, rank, pos, asin FROM links WHERE rank <= 10
+SELECT page_id, rank, pos, asin FROM links WHERE returned
 UNION ALL
 SELECT page_id, rank, pos, asin FROM links
-WHERE rank > 30 AND page_id NOT IN (SELECT page_id FROM links WHERE rank <= 10)
+WHERE NOT returned AND page_id NOT IN (SELECT page_id FROM links WHERE returned)
 """)
 def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
-    return use_fallback(links.filter("rank <= 10"), links.filter("rank > 30"))
+    """Returned lines as primary links, all others as fallback links."""
+    links = _links(spark, sf_dir, "l_returnflag = 'R' AS returned")
+    return use_fallback(links.filter("returned"), links.filter("NOT returned")).drop("returned")
 
 
 @query("""

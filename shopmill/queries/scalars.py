@@ -95,11 +95,11 @@ def host_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(left(text, 60) || '<>:"/\|?*' || source, '[<>:"/\\|?*]', '_', 'g') AS safe_name
+SELECT doc_id, regexp_replace(text || '<>:"/\|?*' || source, '[<>:"/\\|?*]', '_', 'g') AS safe_name
 FROM documents
 """)
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.substring("text", 1, 60), F.lit('<>:"/\\|?*'), F.col("source"))
+    name = F.concat(F.col("text"), F.lit('<>:"/\\|?*'), F.col("source"))
     return table(spark, sf_dir, "documents").select("doc_id", urls.safe_file_name(name).alias("safe_name"))
 
 

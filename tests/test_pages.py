@@ -12,8 +12,8 @@ from shopmill.operators.extract import (
     split_throttled,
 )
 from shopmill.operators.rank import bestseller_links, check_ranks, result_counts, search_links
-from shopmill.operators.select import SelectorSet, steps_of
-from shopmill.operators.shred import elements_table, shred
+from shopmill.operators.select import SelectorSet, element, steps_of
+from shopmill.operators.shred import elements_table, shred, slice_text
 
 ODD = (
     "<!DOCTYPE html><html><body><!-- <p>no</p> --><p>a<b>x<p>b &amp; c<ul><li>1<li>2 <a href='/dp/x>y'>k</a></ul>"
@@ -51,7 +51,7 @@ def test_shown_text_leaves_out_scripts_and_hidden_parts(spark):
 
 
 def test_pruning_keeps_what_selectors_need(spark):
-    found = elements(spark, ODD, literals=["/dp/"], tags=["td"], levels=1)
+    found = elements(spark, ODD, probes=["/dp/", "<td"], levels=1)
     assert list(found) == ["li2@3", "a1@4", "tr1@3", "td1@4", "td2@4"]
 
 
@@ -85,8 +85,8 @@ def test_selectors(pages, selector, texts):
     )
     levels = 1 if ".." in selector[1] else 0
     chosen = SelectorSet([selector])
-    found = shred(pages(html).select("page_id", "html"), *chosen.probes(), levels).withColumn("hits", chosen.hits())
-    each = F.transform(chosen.all(selector), lambda e: F.substring("text", e["text_at"] + 1, e["text_len"]))
+    found = shred(pages(html).select("page_id", "html"), chosen.probes, levels).withColumn("hits", chosen.hits())
+    each = F.transform(chosen.indexes(selector), lambda i: slice_text(F.col("text"), element(i)))
     assert found.select(each.alias("t")).first()["t"] == texts
 
 
@@ -104,7 +104,7 @@ def test_selector_chains(pages):
     each = select_elements(pages(html), chain, chain=False).orderBy("pos").collect()
     assert [(r["priority"], r["text"]) for r in each] == [(2, "hidden"), (2, "second"), (3, "third"), (3, "4")]
     chosen = SelectorSet(chain)
-    page = shred(pages(html).select("page_id", "html"), *chosen.probes()).withColumn("hits", chosen.hits())
+    page = shred(pages(html).select("page_id", "html"), chosen.probes).withColumn("hits", chosen.hits())
     # a hidden first element sends the chain to the next selector, not to the next element
     assert page.select(chosen.first_text(chain, visible=True).alias("t")).first()["t"] == "third"
     assert page.select(chosen.first_text(chain).alias("t")).first()["t"] == "hidden"
