@@ -173,7 +173,7 @@ def content_types(pages: DataFrame, selectors: list[Selector]) -> DataFrame:
     each = F.transform(
         chosen.first_filled(selectors), lambda e: F.struct(e["pos"].alias("pos"), content_type_column(e).alias("kind"))
     )
-    return found.select("page_id", F.explode(each).alias("c")).select(
+    return with_computed(found, "each", each).select("page_id", F.explode("each").alias("c")).select(
         "page_id", "c.pos", F.col("c.kind").alias("content_type")
     )
 
@@ -251,7 +251,8 @@ def select_elements(pages: DataFrame, selectors: list[Selector], chain: bool = T
     chosen = SelectorSet(selectors)
     found = find_elements(pages.select("page_id", "html"), chosen)
     if chain:
-        rows = found.select("page_id", "text", F.explode(chosen.first_filled(selectors)).alias("e"))
+        picked = with_computed(found, "picked", chosen.first_filled(selectors))
+        rows = picked.select("page_id", "text", F.explode("picked").alias("e"))
         keys = ["page_id"]
     else:
         by_selector = found.select("page_id", "text", "elements", F.posexplode("hits").alias("at", "found"))

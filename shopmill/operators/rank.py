@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmill.functions import urls
-from shopmill.functions.columns import let, unless_blank
+from shopmill.functions.columns import let, unless_blank, with_computed
 from shopmill.operators.extract import find_elements
 from shopmill.operators.select import Selector, SelectorSet, attribute, element, first_inside
 from shopmill.operators.shred import slice_text
@@ -145,7 +145,7 @@ def search_link_lists(
     primary = _search_primary(n)
     lists = [_first_per_asin(primary) if distinct else primary, *(_search_fallbacks(n) if fallback else [])]
     found = find_elements(pages.select("page_id", *keep, "html"), SEARCH)
-    return found.select("page_id", *keep, _first_filled(lists).alias("p"))
+    return with_computed(found, "p", _first_filled(lists)).select("page_id", *keep, "p")
 
 
 def search_links(pages: DataFrame, n: int = 10, fallback: bool = True, distinct: bool = True) -> DataFrame:
@@ -160,7 +160,8 @@ def search_links(pages: DataFrame, n: int = 10, fallback: bool = True, distinct:
 def bestseller_links(pages: DataFrame, n: int = 10, fallback: bool = True) -> DataFrame:
     """Ranked links of best-seller pages, the first ``n`` by rank; a repeated product is kept here."""
     found = find_elements(pages.select("page_id", "html"), BESTSELLERS, levels=v.BESTSELLER_CLIMB)
-    return _ranked_rows(found.select("page_id", _first_filled([F.slice(links, 1, n) for links in _bestseller_lists(fallback)]).alias("p")))
+    lists = [F.slice(links, 1, n) for links in _bestseller_lists(fallback)]
+    return _ranked_rows(with_computed(found, "p", _first_filled(lists)).select("page_id", "p"))
 
 
 def result_counts(pages: DataFrame, n: int = 10) -> DataFrame:

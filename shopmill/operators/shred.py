@@ -46,6 +46,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none", re.I)
+MAY_HIDE = re.compile("hidden|display", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -83,14 +84,19 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-ALL: tuple[int, ...] = ()  # an element kept for another reason than a probe
+def _hides(tag: str, source: str, attrs: dict[str, str]) -> bool:
+    return MAY_HIDE.search(source) is not None and (
+        "hidden" in attrs
+        or (tag == "input" and attrs.get("type") == "hidden")
+        or HIDING.search(attrs.get("style", "")) is not None
+    )
 
 
 class _Open:
     """An element whose end tag has not been seen."""
 
-    __slots__ = ("child", "children", "counts", "depth", "hidden", "keep", "last", "nth", "pos", "row", "shown_at",
-                 "source", "tag", "text_at", "unshown")
+    __slots__ = ("attrs", "block", "child", "children", "counts", "depth", "hidden", "keep", "last", "nth", "pos",
+                 "shown_at", "tag", "text_at", "unshown")
 
 
 class _Page:
@@ -129,31 +135,26 @@ class _Page:
         if not (item.hidden or item.unshown or self.tail in ("\n", mark)):
             self.show(mark)
 
-    def open(self, tag: str, source: str, wanted, levels: int) -> _Open:
-        parent = self.stack[-1] if self.stack else self.root
+    def open(self, tag: str, source: str, inspect, levels: int) -> _Open:
+        stack, rows = self.stack, self.rows
+        parent = stack[-1] if stack else self.root
         item = _Open()
-        item.tag, item.source, item.depth = tag, source, len(self.stack)
-        item.pos = item.row = parent.last = len(self.rows)
+        item.tag, item.depth, item.block = tag, len(stack), tag in BLOCK
+        item.pos = parent.last = len(rows)
+        rows.append(None)
         item.counts, item.children, item.last = None, 0, None
         counts = parent.counts
         if counts is None:
             counts = parent.counts = {}
         item.nth = counts[tag] = counts.get(tag, 0) + 1
         item.child = parent.children = parent.children + 1
-        self.rows.append(None)
-        item.keep = ALL if wanted is None else wanted(tag, source)
-        if item.keep is not None and levels:
-            for ancestor in self.stack[-levels:]:
-                ancestor.keep = ancestor.keep or ALL
-        item.hidden, item.unshown = parent.hidden, parent.unshown or tag in UNSHOWN
-        if not item.hidden and ("hidden" in source or "none" in source):
-            attrs = _attributes(source)
-            item.hidden = (
-                "hidden" in attrs
-                or (tag == "input" and attrs.get("type") == "hidden")
-                or HIDING.search(attrs.get("style", "")) is not None
-            )
-        if tag in BLOCK:
+        item.keep, item.attrs, hides = inspect(tag, source)
+        if levels and item.keep is not None:
+            for ancestor in stack[-levels:]:
+                if ancestor.keep is None:
+                    ancestor.keep = ()
+        item.hidden, item.unshown = parent.hidden or hides, parent.unshown or tag in UNSHOWN
+        if item.block:
             self.break_line(item)
         elif tag in CELL:
             self.break_line(item, "\t")
@@ -163,18 +164,19 @@ class _Page:
         return item
 
     def close(self, item: _Open, parent_pos: int | None) -> None:
-        """Finish an element: its subtree is complete."""
-        if item.last is not None and self.rows[item.last]:
-            self.rows[item.last][7] = True
+        """Finish an element: its subtree is complete. The first cell is filled when the page is complete."""
+        rows = self.rows
+        if item.last is not None and rows[item.last]:
+            rows[item.last][8] = True
         if item.keep is not None:
-            attrs = _attributes(item.source)
-            self.rows[item.row] = [
-                item.pos, len(self.rows) - 1, parent_pos, item.depth, item.tag, item.nth, item.child, False,
-                attrs.get("id"), attrs.get("class", "").split(), attrs,
+            attrs = item.attrs
+            rows[item.pos] = [
+                None, item.pos, len(rows) - 1, parent_pos, item.depth, item.tag, item.nth, item.child, False,
+                attrs.get("id"), attrs["class"].split() if "class" in attrs else (), attrs,
                 item.text_at, self.text_len - item.text_at, item.shown_at, self.shown_len - item.shown_at,
                 not item.hidden, item.keep,
             ]
-        if item.tag in BLOCK:
+        if item.block:
             self.break_line(item)
 
     def pop_to(self, size: int) -> None:
@@ -201,6 +203,9 @@ class _Page:
         """Apply an end tag; one without a start tag in reach is ignored."""
         if not self.opened.get(tag):
             return
+        if self.stack[-1].tag == tag:
+            self.pop_to(len(self.stack) - 1)
+            return
         limits = (
             () if tag == "table" else ("table",) if tag in TABLE_PARTS else SCOPE if tag in BLOCK else INLINE_LIMITS
         )
@@ -212,8 +217,8 @@ class _Page:
                 return
 
 
-def _read(html: str, wanted, levels: int) -> _Page:
-    """Take a page apart; ``wanted(tag, attribute_source)`` gives the probes of an element to keep, else None."""
+def _read(html: str, inspect, levels: int) -> _Page:
+    """Take a page apart; ``inspect`` is what ``_inspector`` gives."""
     page, at = _Page(), 0
     while token := TOKEN.search(html, at):
         if token.start() > at:
@@ -226,7 +231,7 @@ def _read(html: str, wanted, levels: int) -> _Page:
             tag = opening.lower()
             if tag in IMPLIED_ENDS:
                 page.imply_ends(tag)
-            item = page.open(tag, source, wanted, levels)
+            item = page.open(tag, source, inspect, levels)
             if tag in VOID:
                 page.close(item, page.stack[-1].pos if page.stack else None)
                 continue
@@ -241,23 +246,24 @@ def _read(html: str, wanted, levels: int) -> _Page:
         page.add_text(entities.unescape(html[at:]))
     page.pop_to(0)
     if page.root.last is not None and page.rows[page.root.last]:
-        page.rows[page.root.last][7] = True
+        page.rows[page.root.last][8] = True
     return page
 
 
-def _shred(html: str, wanted, levels: int, probes: int = 0) -> tuple[str, str, list[tuple], list[list[int]]]:
+def _shred(html: str, inspect, levels: int, probes: int = 0) -> tuple[str, str, list[list], list[list[int]]]:
     """Texts and kept elements of a page, and for each probe the indexes of the elements that have it."""
-    page = _read(html, wanted, levels)
-    elements: list[tuple] = []
+    page = _read(html, inspect, levels)
+    elements: list[list] = []
     having: list[list[int]] = [[] for _ in range(probes)]
     around: list[tuple[int, int]] = []  # last position and index of the kept elements around the current one
     for row in filter(None, page.rows):
-        while around and around[-1][0] < row[0]:
+        while around and around[-1][0] < row[1]:
             around.pop()
+        row[0] = [index for _, index in around]
+        around.append((row[2], len(elements)))
         for probe in row.pop():
             having[probe].append(len(elements))
-        elements.append(([index for _, index in around], *row))
-        around.append((row[1], len(elements) - 1))
+        elements.append(row)
     return "".join(page.text), "".join(page.shown), elements, having
 
 
@@ -285,36 +291,40 @@ def _element_array(pages: list[list[tuple]]) -> pa.ListArray:
     return _lists(elements, ELEMENT_ARROW, map(len, pages))
 
 
-def _keeper(probes: list[str]):
-    """Which probes an element has: ``<td`` asks for the tag, ``<`` for any element, other texts for a literal.
+def _inspector(probes: list[str] | None, levels: int = 0):
+    """What to know of a start tag: the probes that it has (None: leave the element out), attributes, if it hides.
 
-    A literal counts wherever it stands in the start tag, so a probe may report too many elements, never too few.
+    The probe ``<td`` asks for the tag, ``<`` for any element, other texts for a literal. A literal counts wherever it
+    stands in the start tag, so a probe may report too many elements, never too few. Without probes all are kept.
     """
-    tags = {text[1:]: i for i, text in enumerate(probes) if text.startswith("<")}
-    literals = [(i, text) for i, text in enumerate(probes) if not text.startswith("<")]
+    tags = {text[1:]: i for i, text in enumerate(probes or ()) if text.startswith("<")}
+    literals = [(i, text) for i, text in enumerate(probes or ()) if not text.startswith("<")]
     anything = re.compile("|".join(re.escape(text) for _, text in literals)) if literals else None
-    always = (tags.pop(""),) if "" in tags else None
-    known: dict[tuple[str, str], tuple[int, ...] | None] = {}
+    always = () if probes is None else (tags.pop(""),) if "" in tags else None
+    known: dict[tuple[str, str], tuple] = {}
 
-    def look(tag: str, source: str) -> tuple[int, ...] | None:
-        source = entities.unescape(source)
+    def look(tag: str, source: str) -> tuple:
+        plain = entities.unescape(source)
         found = always or ()
-        if anything is not None and anything.search(source):
-            found += tuple(i for i, text in literals if text in source)
+        if anything is not None and anything.search(plain):
+            found += tuple(i for i, text in literals if text in plain)
         if tag in tags:
             found += (tags[tag],)
-        return found or None
+        if not found and always is None and not levels and not MAY_HIDE.search(source):
+            return None, None, False
+        attrs = _attributes(source) if source else {}
+        return found if found or always is not None else None, attrs, _hides(tag, source, attrs)
 
-    def wanted(tag: str, source: str) -> tuple[int, ...] | None:
+    def inspect(tag: str, source: str) -> tuple:
         key = (tag, source)
-        if key in known:
-            return known[key]
-        answer = look(tag, source)
-        if len(known) < 20000 and len(source) < 200:
-            known[key] = answer
+        answer = known.get(key)
+        if answer is None:
+            answer = look(tag, source)
+            if len(known) < 20000 and len(source) < 200:
+                known[key] = answer
         return answer
 
-    return wanted
+    return inspect
 
 
 def shred(pages: DataFrame, probes: list[str] | None = None, levels: int = 0) -> DataFrame:
@@ -328,11 +338,11 @@ def shred(pages: DataFrame, probes: list[str] | None = None, levels: int = 0) ->
     asked = list(probes or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if probes is None else _keeper(asked)
+        inspect = _inspector(probes, levels)
         for batch in batches:
             for start in range(0, batch.num_rows, PAGES_PER_BATCH):
                 part = batch.slice(start, PAGES_PER_BATCH)
-                found = [_shred(h or "", wanted, levels, len(asked)) for h in part.column("html").to_pylist()]
+                found = [_shred(h or "", inspect, levels, len(asked)) for h in part.column("html").to_pylist()]
                 made = [
                     pa.array([f[0] for f in found], pa.string()),
                     pa.array([f[1] for f in found], pa.string()),

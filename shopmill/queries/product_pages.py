@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmill.functions.columns import with_computed
 from shopmill.functions.prices import money_text
 from shopmill.operators.extract import alternative_prices, content_types, extract_products
 from shopmill.plans import vocabulary as v
@@ -84,10 +85,9 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat('$', format_number({_TEN} + 100, 2)) AS strike",
     )
     html = ", '\\n', ".join(f"({piece})" for piece in _PIECES)
-    return part.selectExpr(
-        "p_partkey AS page_id",
-        "concat('https://www.amazon.com/dp/B', lpad(p_partkey, 9, '0')) AS url",
-        f"concat('<html><head><title>Shop &amp; more</title></head><body>', {html}, '</body></html>') AS html",
+    page = f"concat('<html><head><title>Shop &amp; more</title></head><body>', {html}, '</body></html>')"
+    return with_computed(part, "html", F.expr(page)).selectExpr(
+        "p_partkey AS page_id", "concat('https://www.amazon.com/dp/B', lpad(p_partkey, 9, '0')) AS url", "html"
     )
 
 
