@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shopmill.functions.columns import SPACE, WORD, drop_all, first_group, let, strip, unless_blank
 
+# Words of a byline that are not part of the brand.
 BYLINE_WORDS = ["Brand:", "Visit the", "Store"]
 
 

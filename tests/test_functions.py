@@ -1,5 +1,6 @@
 import random
 import re
+from functools import reduce
 from urllib.parse import quote_plus, unquote
 
 from shopmill.functions import brands, prices, text, urls, variants
@@ -61,15 +62,18 @@ def test_rating_and_review_count(values):
     assert values(prices.review_count, texts) == [1234567, 12, 7, None, 4, None]
 
 
+# The cleaning patterns in Python's dialect.
+CLEANING = [
+    (r"\s+", " "),
+    (r"""[^\w\s.,;:!?()'"\-–—/\n]""", ""),
+    (r"([.,!?])\1+", r"\1"),
+    (r"([.!?])\s*(\w)", r"\1\n\2"),
+    *((f"(?i){phrase}", "") for phrase in text.BOILERPLATE),
+]
+
+
 def python_clean(t):
-    """The cleaning rules in Python's own dialect."""
-    t = re.sub(r"\s+", " ", t.strip())
-    t = re.sub(r"[^\w\s.,;:!?()'\"\-–—/\n]", "", t)
-    t = re.sub(r"([.,!?])\1+", r"\1", t)
-    t = re.sub(r"([.!?])\s*(\w)", r"\1\n\2", t)
-    for phrase in text.BOILERPLATE:
-        t = re.sub(phrase, "", t, flags=re.I)
-    return t.strip() or None
+    return reduce(lambda cleaned, rule: re.sub(*rule, cleaned), CLEANING, t.strip()).strip() or None
 
 
 def test_clean_text_agrees_with_python(values):
@@ -96,13 +100,9 @@ def test_truncate_text(values):
 
 def test_truncate_agrees_with_python(values):
     def shorten(t, limit=10):
-        if len(t) <= limit:
-            return t
-        for separator in ["\n\n", ". ", "! ", "? "]:
-            at = t.rfind(separator, 0, limit)
-            if at > 0:
-                return t[: at + len(separator)].strip()
-        return t[:limit].strip()
+        parts = (t[:limit].rpartition(separator) for separator in ["\n\n", ". ", "! ", "? "])
+        cut = next((before + separator for before, separator, _ in parts if before), t[:limit])
+        return t if len(t) <= limit else cut.strip()
 
     texts = random_texts(2) + ["a.\n\nb. c! d? eee fff", "\n\nabcdefghijklmn"]
     assert values(lambda c: text.truncate_text(c, 10), texts) == [shorten(t) for t in texts]
@@ -134,6 +134,7 @@ def test_sizes_and_colors(values):
     ]
 
 
+# The greedy forms of the colour and size patterns.
 COLOR = r"((?:[A-Za-z]+(?:\s+[A-Za-z]+)*(?:\s*,\s*[A-Za-z]+(?:\s+[A-Za-z]+)*)*))(?:\.|$|\n)"
 SIZE = "X?S|X?M|X?L|XXL|XXXL|2XL|3XL|4XL|5XL"
 

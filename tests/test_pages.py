@@ -14,6 +14,8 @@ from shopmill.operators.extract import (
 from shopmill.operators.rank import bestseller_links, check_ranks, result_counts, search_links
 from shopmill.operators.select import SelectorSet, element, steps_of
 from shopmill.operators.shred import elements_table, shred, slice_text
+from shopmill.schemas import PRODUCT
+from shopmill.sources.tables import read_pages
 
 ODD = (
     "<!DOCTYPE html><html><body><!-- <p>no</p> --><p>a<b>x<p>b &amp; c<ul><li>1<li>2 <a href='/dp/x>y'>k</a></ul>"
@@ -180,6 +182,14 @@ def test_availability(pages, body, status):
     assert product(pages, TITLE + body, fields=["availability"])["availability"] == status
 
 
+def test_record_layout(spark, pages, tmp_path):
+    pages(TITLE).write.parquet(str(tmp_path / "pages"))
+    stored = read_pages(spark, str(tmp_path / "pages"))
+    found = extract_products(stored, category=F.lit("c"), at=F.lit("2025-01-01"))
+    assert [(f.name, f.dataType) for f in found.drop("page_id").schema] == [(f.name, f.dataType) for f in PRODUCT]
+    assert found.first()["title"] == "Acme  Shoe"
+
+
 def test_description_sections(pages):
     body = (
         "<div id='feature-bullets'><li>Good.<li>Read more</div><div id='productDescription'><p>Good.<script>f()</script></div>"
