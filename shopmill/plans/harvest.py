@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,13 @@ class Harvest:
 
     products: DataFrame
     stage: DataFrame
-    catalog: DataFrame
     runs: DataFrame
+    first_catalog_id: int
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """Numbered catalog rows; the numbers are settled when this is first asked for."""
+        return to_catalog(self.stage, self.first_catalog_id)
 
 
 def _products_by_asin(pages: DataFrame, at: Column | None, limit: int) -> DataFrame:
@@ -86,7 +92,7 @@ def harvest(
         F.when(~success, F.lit("no readable page is stored for this URL")).alias("error"),
     )
     runs = _written(runs, os.path.join(work_dir, "runs"))
-    return Harvest(products, stage, to_catalog(stage, settings.first_catalog_id), runs)
+    return Harvest(products, stage, runs, settings.first_catalog_id)
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
