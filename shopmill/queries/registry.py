@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the place that the executors share."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:") :]
-        return tempfile.mkdtemp(prefix="work-", dir=base)
-    return os.path.join(base, f"work-{os.urandom(8).hex()}")
+    return os.path.join(ensure_checkpoint_dir(spark), f"work-{os.urandom(8).hex()}")
