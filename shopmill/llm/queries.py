@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmill.llm import chat, embedding_dedup, exact_dedup, language, mixing, packing, quality, simhash, warc
+from shopmill.llm import chat, embedding_dedup, exact_dedup, language, license_scan, mixing, packing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -235,3 +235,75 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     records = warc.read_records(index)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _license_sql() -> str:
+    """All passages of all texts against all templates; only the templates' weights are handed over as numbers."""
+    templates = license_scan.Templates()
+    idf = ", ".join(f"('{word}', {value!r}::double)" for word, value in templates.idf.items())
+    entries = ", ".join(
+        f"({number}, '{name}', '{word}', {weight!r}::double)"
+        for number, ((name, _), vector) in enumerate(zip(templates.texts, templates.vectors))
+        for word, weight in vector.items()
+    )
+    return rf"""
+    with idf(word, idf) as (values {idf}), entries(template, license, word, weight) as (values {entries}),
+    files as (
+        select doc_id, coalesce(text, '') as text, coalesce(source, 'unknown') as top, doc_id % 7 as package,
+               doc_id % 35 as module, doc_id % 10 = 0 as is_licence, doc_id // 10 % 3 as depth from documents
+    ), paths as (
+        select doc_id, text, top || case when is_licence and depth = 0 then '' else '/p' || package end
+          || case when is_licence and depth < 2 then '' else '/m' || module end as dir,
+          case when is_licence then 'LICENSE-' || doc_id else 'f' || doc_id || '.txt' end as name
+        from files
+    ), passages as (
+        select distinct doc_id, unnest(list_concat(string_split(text, chr(10)),
+               string_split_regex(text, '\n[ \t\r]*\n'))) as passage from paths
+    ), words as (
+        select doc_id, passage, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+')) as word from passages
+    ), counted as (
+        select doc_id, passage, word, count(*) as n from words group by all
+    ), weighted as (
+        select doc_id, passage, word, n * coalesce(idf, {templates.other_idf!r}::double) as w
+        from counted left join idf using (word)
+    ), norms as (
+        select doc_id, passage, sqrt(sum(w * w)) as norm from weighted group by all
+    ), scored as (
+        select doc_id, license, round(sum(w * weight) / norm, 6) as score
+        from weighted join entries using (word) join norms using (doc_id, passage)
+        group by doc_id, passage, template, license, norm having round(sum(w * weight) / norm, 6) >= 0.8
+    ), own as (
+        select doc_id, license, score from scored
+        qualify row_number() over (partition by doc_id order by score desc, license) = 1
+    ), given as (
+        select dir as licence_dir, license, score from own join paths using (doc_id) where name like 'LICENSE-%'
+        qualify row_number() over (partition by dir order by score desc, license) = 1
+    ), nearest as (
+        select dir, licence_dir, given.license, given.score from (select distinct dir from paths) p join given
+        on p.dir = licence_dir or starts_with(p.dir, licence_dir || '/')
+        qualify row_number() over (partition by dir order by length(licence_dir) desc) = 1
+    )
+    select doc_id, paths.dir || '/' || name as path, coalesce(own.license, nearest.license) as license,
+           coalesce(own.score, nearest.score) as score,
+           case when own.license is not null then 'own' when licence_dir is not null then 'inherited' else 'none' end
+             as origin,
+           case when own.license is null then licence_dir end as licence_dir
+    from paths left join own using (doc_id) left join nearest on nearest.dir = paths.dir
+    """
+
+
+@query(_license_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of one source tree per source; every tenth is a licence file at one of three depths."""
+    docs = table(spark, sf_dir, "documents")
+    is_licence, depth = F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 10) % 3
+    package = F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string"))
+    module = F.concat(F.lit("m"), (F.col("doc_id") % 35).cast("string"))
+    path = F.concat_ws(
+        "/",
+        F.coalesce("source", F.lit("unknown")),
+        F.when(~(is_licence & (depth < 1)), package),
+        F.when(~(is_licence & (depth < 2)), module),
+        F.when(is_licence, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat(F.lit("f"), "doc_id", F.lit(".txt"))),
+    )
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
