@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,9 @@ WORD = 32
 #: Probability of a letter that the vocabulary does not have, in any language.
 STRANGE = 1e-7
 #: Characters of a text looked at together, and words whose scores a worker remembers before it forgets them all.
-BLOCK, REMEMBERED = 1 << 20, 400_000
+BLOCK, REMEMBERED = 1 << 20, 600_000
+#: Words of several texts that are scored together.
+TOGETHER = 400_000
 
 
 @cache
@@ -135,6 +138,40 @@ class Languages:
     names: tuple[str, ...]
     table: np.ndarray
     vocabulary: str
+    token: str
+
+
+class _Scorer:
+    """Scores of a worker's words; it outlives a task, since most words return in the next."""
+
+    def __init__(self, model: Languages):
+        self.model, self.vocabulary = model, pieces(model.vocabulary)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.scores = {}, np.zeros((0, len(self.model.names)))
+
+    def add(self, waiting: list[tuple[int, Counter]], totals: np.ndarray, letters: np.ndarray) -> None:
+        """Add the words' logarithms to the rows of ``totals``; new words of all texts are scored together."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        if new := list(set().union(*(tally for _, tally in waiting)).difference(self.known)):
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.scores = np.concatenate([self.scores, log_likelihoods(new, self.vocabulary, self.model.table)])
+        for row, tally in waiting:
+            at = np.fromiter(map(self.known.__getitem__, tally), np.int64, len(tally))
+            totals[row] += np.fromiter(tally.values(), float, len(tally)) @ self.scores[at]
+            letters[row] = True
+
+
+_scorers: dict[str, _Scorer] = {}
+
+
+def _scorer(model: Languages) -> _Scorer:
+    if model.token not in _scorers:
+        _scorers.clear()
+        _scorers[model.token] = _Scorer(model)
+    return _scorers[model.token]
 
 
 def train(
@@ -191,7 +228,7 @@ def train(
     if names:
         for _ in range(rounds):
             table = maximise(table)
-    return Languages(names, table, vocabulary)
+    return Languages(names, table, vocabulary, uuid.uuid4().hex)
 
 
 def identify(docs: DataFrame, model: Languages, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,33 +240,28 @@ def identify(docs: DataFrame, model: Languages, key: str = "doc_id", text: str =
     result each. Other columns are ignored; an empty table gives an empty result.
     """
 
-    def batches(stream: Iterator[tuple[pd.Series]]) -> Iterator[pd.DataFrame]:
-        vocabulary, known, scores = pieces(model.vocabulary), {}, np.zeros((0, len(model.names)))
-
-        def sums(found: list[str]) -> np.ndarray:
-            nonlocal known, scores
-            if len(known) > REMEMBERED:
-                known, scores = {}, np.zeros((0, len(model.names)))
-            tally = Counter(found)
-            if new := [word for word in tally if word not in known]:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                scores = np.concatenate([scores, log_likelihoods(new, vocabulary, model.table)])
-            at = np.fromiter(map(known.__getitem__, tally), np.int64, len(tally))
-            return np.fromiter(tally.values(), float, len(tally)) @ scores[at]
-
+    def batches(stream: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = _scorer(model)
         for texts in stream:
-            out = []
-            for value in texts:
-                total, letters = np.zeros(len(model.names)), False
+            totals, letters = np.zeros((len(texts), len(model.names))), np.zeros(len(texts), bool)
+            waiting: list[tuple[int, Counter]] = []
+            size = 0
+            for at, value in enumerate(texts):
                 for found in words(value):
                     if found and model.names:
-                        total, letters = total + sums(found), True
-                if letters:
-                    best = int(total.argmax())
-                    out.append((model.names[best], 1 / np.exp(total - total[best]).sum()))
-                else:
-                    out.append((UNKNOWN, 0.0))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                        waiting.append((at, Counter(found)))
+                        size += len(found)
+                    if size > TOGETHER:
+                        scorer.add(waiting, totals, letters)
+                        waiting, size = [], 0
+            scorer.add(waiting, totals, letters)
+            if not model.names:
+                yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
+                continue
+            best = totals.argmax(axis=1)
+            share = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+            names = np.array(model.names, object)[best]
+            yield pd.DataFrame({"lang_pred": np.where(letters, names, UNKNOWN), "score": np.where(letters, share, 0.0)})
 
     predict = F.pandas_udf(lambda stream: batches(stream), "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     held_out = F.coalesce(fold(key, FOLDS) == HELD_OUT, F.lit(False))
