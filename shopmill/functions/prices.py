@@ -9,9 +9,9 @@ from shopmill.functions.columns import SPACE, first_group
 from shopmill.schemas import MONEY
 
 SOURCE_PRICE_PATTERN = rf'"price":[{SPACE}]*"?\$?(\d+\.?\d*)"?'
-# At most 30 digit groups: a longer list overflows a bigint anyway, and repetition without a bound
-# costs the regex engine one stack frame per group.
-REVIEW_PATTERN = rf"(\d+(?:,\d+){{0,30}})[{SPACE}]*(?:[^\d\n]*[{SPACE}]+)?ratings?"
+# Digit groups repeat possessively: any other repetition costs the regex engine one stack frame per group. A match
+# never starts inside a list of groups: it would end where the whole list ends, so trying is only quadratic.
+REVIEW_PATTERN = rf"(?<!\d)(?<!\d,)(\d++(?:,\d++)*+)[{SPACE}]*(?:[^\d\n]*[{SPACE}]+)?ratings?"
 
 
 def parse_price(text: Column) -> Column:

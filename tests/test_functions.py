@@ -169,3 +169,8 @@ def test_long_lists_do_not_exhaust_the_stack(values):
     assert values(variants.colors, [colors]) == [["navy blue", "red"]]
     assert values(text.clean_text, ["word. " * n])[0].count("\n") == n - 1
     assert values(text.filter_code, ["/*" + "x\n" * n + "*/ok"]) == ["ok"]
+
+
+def test_review_count_of_any_number_of_digit_groups(values):
+    texts = ["1," + "0," * 31 + "7 ratings", "1," * 40_000 + "7 ratings", "1," * 400_000 + "x", "1,234 ratings", "1,2,x 5 global ratings"]
+    assert values(prices.review_count, texts) == [None, None, None, 1234, 5]
