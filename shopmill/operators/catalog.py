@@ -121,7 +121,8 @@ def to_catalog(stage: DataFrame, first_id: int = 10000) -> DataFrame:
     product's block, so no row looks at the rows above it.
     """
     starts = number_blocks(stage, "product_seq", catalog_size(), first_id)
-    rows = expand_rows(stage).join(starts, "product_seq")
+    # joined while a product is one row; nothing is shuffled once its variations are rows
+    rows = expand_rows(stage.join(starts, "product_seq"))
 
     is_base, variable = F.col("k") == 0, _is_variable()
     none, empty = F.lit(None).cast("string"), F.lit("")

@@ -16,10 +16,11 @@ def number_blocks(df: DataFrame, key: str, size: Column, first: int) -> DataFram
     bounds the broadcast) then give each partition its start.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    # a name of its own: the checkpointed table must not share a column with the table that the starts are joined to
     ordered = (
-        df.select(key, size.cast("bigint").alias("size"))
-        .repartitionByRange(F.col(key))
-        .sortWithinPartitions(key)
+        df.select(F.col(key).alias("block_key"), size.cast("bigint").alias("size"))
+        .repartitionByRange("block_key")
+        .sortWithinPartitions("block_key")
         .checkpoint()
         .withColumn("part", F.spark_partition_id())
     )
@@ -29,8 +30,8 @@ def number_blocks(df: DataFrame, key: str, size: Column, first: int) -> DataFram
         .agg(F.sum("size").alias("rows"))
         .select("part", F.coalesce(F.sum("rows").over(earlier_parts), F.lit(0)).alias("before"))
     )
-    earlier_rows = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    within = ordered.select(key, "part", F.coalesce(F.sum("size").over(earlier_rows), F.lit(0)).alias("offset"))
+    earlier_rows = Window.partitionBy("part").orderBy("block_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = ordered.select("block_key", "part", F.coalesce(F.sum("size").over(earlier_rows), F.lit(0)).alias("offset"))
     return within.join(F.broadcast(starts), "part").select(
-        key, (F.col("before") + F.col("offset") + first).alias("start_id")
+        F.col("block_key").alias(key), (F.col("before") + F.col("offset") + first).alias("start_id")
     )

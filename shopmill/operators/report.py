@@ -18,16 +18,17 @@ def useful_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """Counts, total time, averages and success ratio of all runs; averages of no runs are NULL."""
+    """Counts, total time, averages and success ratio of all runs; NULL averages of no runs, NULL times if none is known."""
     totals = runs.agg(
         F.count("*").alias("terms"),
         F.count_if("success").alias("succeeded"),
         F.count_if(~F.col("success")).alias("failed"),
-        F.coalesce(F.sum("execution_time"), F.lit(0)).alias("total_time"),
+        F.sum("execution_time").alias("total_time"),
+        F.count("execution_time").alias("timed"),
     )
     return totals.select(
-        "*",
-        F.try_divide("total_time", "terms").alias("average_time"),
+        *(name for name in totals.columns if name != "timed"),
+        F.try_divide("total_time", "timed").alias("average_time"),
         F.concat_ws("/", "succeeded", "terms").alias("success_ratio"),
         F.try_divide(F.lit(100.0) * F.col("succeeded"), F.col("terms")).alias("success_percent"),
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -39,9 +40,11 @@ ELEMENT_ARROW = pa.struct(
 )
 PAGES_PER_BATCH = 128
 
+# Every form takes in all that it has looked at: one that is not closed runs to the end of the page and is dropped
+# there. So no character is read twice, and the time is linear in the page.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -107,7 +110,7 @@ class _Page:
         self.root.counts, self.root.children, self.root.last, self.root.keep = {}, 0, None, None
         self.root.hidden = self.root.unshown = False
         self.stack: list[_Open] = []
-        self.opened: dict[str, int] = {}  # open elements by tag
+        self.places: dict[str, list[int]] = {}  # by tag, where in the stack it is open
         self.rows: list[list | None] = []
         self.text: list[str] = []
         self.shown: list[str] = []
@@ -182,39 +185,38 @@ class _Page:
     def pop_to(self, size: int) -> None:
         while len(self.stack) > size:
             item = self.stack.pop()
-            self.opened[item.tag] -= 1
+            self.places[item.tag].pop()
             self.close(item, self.stack[-1].pos if self.stack else None)
 
     def imply_ends(self, tag: str) -> None:
         """End the open elements that a start tag ends without saying so."""
         ended, protected = IMPLIED_ENDS[tag]
-        if not any(map(self.opened.get, ended)):
+        open_now = [places for places in map(self.places.get, ended) if places]
+        if not open_now:
             return
-        lowest = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in ended:
-                lowest = i
-            elif self.stack[i].tag in protected:
-                break
-        if lowest is not None:
-            self.pop_to(lowest)
+        floor = self.innermost(protected)
+        in_reach = [places[bisect_right(places, floor)] for places in open_now if places[-1] > floor]
+        if in_reach:
+            self.pop_to(min(in_reach))
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags, -1 without any."""
+        return max((places[-1] for places in map(self.places.get, tags) if places), default=-1)
 
     def end(self, tag: str) -> None:
         """Apply an end tag; one without a start tag in reach is ignored."""
-        if not self.opened.get(tag):
+        places = self.places.get(tag)
+        if not places:
             return
-        if self.stack[-1].tag == tag:
-            self.pop_to(len(self.stack) - 1)
+        place = places[-1]
+        if place == len(self.stack) - 1:
+            self.pop_to(place)
             return
         limits = (
             () if tag == "table" else ("table",) if tag in TABLE_PARTS else SCOPE if tag in BLOCK else INLINE_LIMITS
         )
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                self.pop_to(i)
-                return
-            if self.stack[i].tag in limits:
-                return
+        if self.innermost(limits) <= place:
+            self.pop_to(place)
 
 
 def _read(html: str, inspect, levels: int) -> _Page:
@@ -225,6 +227,8 @@ def _read(html: str, inspect, levels: int) -> _Page:
             page.add_text(entities.unescape(html[at : token.start()]))
         at = token.end()
         closing, opening, source = token.groups()
+        if (closing or opening) and html[at - 1] != ">":
+            break
         if closing:
             page.end(closing.lower())
         elif opening:
@@ -235,10 +239,10 @@ def _read(html: str, inspect, levels: int) -> _Page:
             if tag in VOID:
                 page.close(item, page.stack[-1].pos if page.stack else None)
                 continue
+            page.places.setdefault(tag, []).append(len(page.stack))
             page.stack.append(item)
-            page.opened[tag] = page.opened.get(tag, 0) + 1
             if tag in RAW:
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
+                end = re.compile(rf"</{tag}[^>]*+(?:>|\Z)", re.I).search(html, at)
                 raw, at = html[at : end.start() if end else len(html)], end.end() if end else len(html)
                 page.add_text(entities.unescape(raw) if tag in ("title", "textarea") else raw)
                 page.pop_to(len(page.stack) - 1)

@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
+SPLIT_KEYS = 100_000
 
 
 def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "inner", limit: int = ROWS_PER_TASK) -> DataFrame:
     """``big`` joined with ``unique`` on ``key``, which is unique in the second table only.
 
     A key with more than ``limit`` rows is split: its rows get one of several salts, and its one row on the other
-    side is repeated per salt. No more than ``count(big) / limit`` keys can be that frequent, which bounds the
-    broadcast of the list of them; all other keys have the one salt 0.
+    side is repeated per salt. The list of split keys is broadcast; it holds the ``SPLIT_KEYS`` most frequent ones at
+    most, so its size is bounded whatever the input. A key that is not split has the one salt 0, and either no more
+    than ``limit`` rows or no more than one in ``SPLIT_KEYS`` of all rows. NULL keys equal nothing: their rows are
+    dealt by a hash of the row.
     """
     frequent = (
-        big.groupBy(key)
+        big.filter(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(F.count("*").alias("copies"))
         .filter(F.col("copies") > limit)
+        .orderBy(F.desc("copies"), key)
+        .limit(SPLIT_KEYS)
         .select(key, F.ceil(F.col("copies") / limit).cast("int").alias("salts"))
     )
 
@@ -27,7 +33,9 @@ def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "inner",
 
     # the partition number parts equal rows, and unlike a row number it is the same when a task runs again
     row_hash = F.xxhash64(F.spark_partition_id(), *(F.col(f"`{name}`") for name in _hashable(big)))
-    left = with_salts(big.withColumn("salt", row_hash)).withColumn("salt", F.pmod("salt", F.col("salts").cast("bigint")))
+    salt = F.when(F.col(key).isNull(), F.col("salt").bitwiseAND(0x7FFFFFFF))
+    salt = salt.otherwise(F.pmod("salt", F.col("salts").cast("bigint")))
+    left = with_salts(big.withColumn("salt", row_hash)).withColumn("salt", salt)
     left = left.withColumn("salt", F.col("salt").cast("int")).drop("salts")
     right = with_salts(unique).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return left.join(right, [key, "salt"], how).drop("salt")

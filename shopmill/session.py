@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="shopmill-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input that arrives in fewer splits than there are cores.
-
-    A large input has more splits than cores and is returned unchanged, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -98,7 +98,7 @@ def write_stage(stage: DataFrame, folder: str, stamp: Column | str) -> None:
 
 def write_catalog(catalog: DataFrame, folder: str) -> None:
     """Catalog files in row order: within a file, and from each file to the next."""
-    ordered = catalog.repartitionByRange("product_seq").sortWithinPartitions("product_seq", "k")
+    ordered = catalog.repartitionByRange("product_seq", "k").sortWithinPartitions("product_seq", "k")
     _with_mark(ordered.select(*CATALOG_COLUMNS), "ID").write.options(**CSV_OPTIONS).option(
         "maxRecordsPerFile", ROWS_PER_FILE
     ).mode("overwrite").csv(folder)

@@ -197,7 +197,7 @@ def test_reports(spark, tmp_path):
     assert report.file_report(runs).count() == 2
     assert ("Unknown", "Failed", 1) in [tuple(r) for r in report.category_summary(runs).collect()]
     empty = report.run_summary(spark.createDataFrame([], RUNS)).first()
-    assert (empty["terms"], empty["total_time"], empty["average_time"], empty["success_percent"]) == (0, 0, None, None)
+    assert (empty["terms"], empty["total_time"], empty["average_time"], empty["success_percent"]) == (0, None, None, None)
 
 
 def shop(spark):
@@ -240,3 +240,38 @@ def test_stream_gives_the_records_of_the_batch(spark, tmp_path):
     assert [(r["page_id"], r["title"]) for r in found] == [
         (11, "Product 1"), (12, "Product 2"), (13, "Product 3"), (20, "Product one"),
     ]
+
+
+def test_null_keys_are_spread_over_tasks(spark):
+    big = spark.range(4000).select(F.lit(None).cast("int").alias("key"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("left", "left_anti"):
+            unique = spark.createDataFrame([(1,)], "key int")
+            joined = join_unique(big, unique, "key", how, limit=100)
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 4000 and len(sizes) > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_catalog_without_adaptive_execution(spark):
+    with_it = [tuple(r) for r in to_catalog(stage(spark, SHOE, BOOT, PLAIN)).orderBy("product_seq", "k").collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        without = [tuple(r) for r in to_catalog(stage(spark, SHOE, BOOT, PLAIN)).orderBy("product_seq", "k").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert with_it and with_it == without
+
+
+def test_no_times_give_no_total(spark):
+    runs = spark.createDataFrame(
+        [(True, None), (False, None)], "success boolean, execution_time double"
+    )
+    row = report.run_summary(runs).first()
+    assert (row["terms"], row["total_time"], row["average_time"]) == (2, None, None)
+    half = report.run_summary(runs.unionByName(spark.createDataFrame([(True, 4.0)], runs.schema))).first()
+    assert (half["total_time"], half["average_time"]) == (4.0, 4.0)

@@ -1,5 +1,7 @@
 """Page shredding, selectors, product extraction and ranked links."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from shopmill.operators.extract import (
 )
 from shopmill.operators.rank import bestseller_links, check_ranks, result_counts, search_links
 from shopmill.operators.select import SelectorSet, element, steps_of
-from shopmill.operators.shred import elements_table, shred, slice_text
+from shopmill.operators.shred import _inspector, _shred, elements_table, shred, slice_text
 from shopmill.schemas import PRODUCT
 from shopmill.sources.tables import read_pages
 
@@ -285,3 +287,31 @@ def test_rank_check(spark):
     assert {r["page_id"]: (r["links"], r["in_order"]) for r in found} == {
         1: (2, True), 2: (2, False), 3: (2, False), 4: (2, False), 5: (1, True),
     }
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a", "<a x ", "</a", "<!--", "<!x", '<a x="', "<a x='", "<script></script", "<p><button>", "<div></b>", "<table><td>"],
+)
+def test_markup_that_never_ends_takes_linear_time(piece):
+    def seconds(size):
+        start = time.perf_counter()
+        _shred((piece * (size // len(piece) + 1))[:size], _inspector(["none"]), 0, 1)
+        return time.perf_counter() - start
+
+    assert seconds(1_000_000) < 10
+
+
+def test_end_tags_and_implied_ends_do_not_walk_deep_trees():
+    page = "<p><button>" + "<b>" * 50_000 + "<div></i></div>" * 50_000
+    start = time.perf_counter()
+    _shred(page, _inspector(["none"]), 0, 1)
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("tail", ["<b", "<b x", '<b title="x>y', "</p", "<!-- x", "<!doctype", "<b x='>"])
+def test_a_tag_cut_off_by_the_end_of_the_page_is_dropped(tail):
+    text, _, elements, _ = _shred("<p>kept" + tail, _inspector(None), 0)
+    complete = tail.endswith(">")
+    assert text == "kept"
+    assert [e[5] for e in elements] == (["p", "b"] if complete else ["p"])
