@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmill.llm import chat, embedding_dedup, exact_dedup, language, license_scan, mixing, packing, quality, simhash, warc
+from shopmill.llm import (
+    chat,
+    embedding_dedup,
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    simhash,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -307,3 +319,57 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_licence, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat(F.lit("f"), "doc_id", F.lit(".txt"))),
     )
     return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query(
+    r"""
+    with given as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+               row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, '')))
+                 as place
+        from conversations where conv_id is not null
+    ), convs as (
+        select conv_id, conv_id - conv_id % 20 as base, xor(list_reduce(
+                 list_prepend(4294967295, [ascii(c)::bigint for c in string_split(conv_id::varchar, '')]),
+                 lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)), 4294967295) % 4 as h
+        from (select distinct conv_id from given)
+    ), rebuilt as (
+        select convs.conv_id, place, role, text from convs join given on given.conv_id = base and place <= h
+        union all
+        select conv_id, place, role, text from given join convs using (conv_id) where place > h
+    ), listed as (
+        select convs.conv_id, coalesce(list(md5(role || ':' || md5(text)) order by place) filter (place is not null), []) as path,
+               coalesce(list(len(regexp_extract_all(text, '[^ 	-]+'))::bigint order by place)
+                 filter (place is not null), []) as words
+        from convs left join rebuilt using (conv_id) group by convs.conv_id
+    ), members as (
+        select conv_id, d as depth, array_to_string(path[1:d], ',') as node,
+               case when d > 0 then array_to_string(path[1:d - 1], ',') end as parent,
+               case when d > 0 then words[d] else 0 end as last_words, d = len(path) as ends
+        from (select *, unnest(range(0, len(path) + 1)) as d from listed)
+    ), nodes as (
+        select node, depth, any_value(parent) as parent, min(conv_id) as conv_id, count(*)::bigint as n_convs,
+               (count(*) - 1) * any_value(last_words) as own_saved,
+               sha256(coalesce(string_agg(case when ends then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+        from members group by node, depth
+    ), families as (
+        select parent as node, depth - 1 as depth, count(*)::bigint as n_children from nodes where depth > 0 group by all
+    ), whole as (
+        select nodes.*, coalesce(n_children, 0) as n_children from nodes left join families using (node, depth)
+    ), subtrees as (
+        select string_split(node, ',')[1:d] as path, d as depth, own_saved, (n_children = 0)::bigint as leaf
+        from (select *, unnest(range(0, depth + 1)) as d from whole)
+    ), sums as (
+        select array_to_string(path, ',') as node, depth, sum(own_saved)::bigint as saved_tokens, sum(leaf)::bigint as n_leaves
+        from subtrees group by all
+    )
+    select whole.conv_id, whole.depth::bigint as depth, above.conv_id as parent_conv_id, whole.n_convs, whole.n_children,
+           n_leaves, saved_tokens, whole.ends_sha256
+    from whole join sums on sums.node = whole.node and sums.depth = whole.depth
+    left join whole above on above.node = whole.parent and above.depth = whole.depth - 1
+    """
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_openings(turns))
