@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopmill.llm import (
     chat,
+    collocations,
     embedding_dedup,
     exact_dedup,
     language,
@@ -340,7 +341,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         select conv_id, place, role, text from given join convs using (conv_id) where place > h
     ), listed as (
         select convs.conv_id, coalesce(list(md5(role || ':' || md5(text)) order by place) filter (place is not null), []) as path,
-               coalesce(list(len(regexp_extract_all(text, '[^ 	-]+'))::bigint order by place)
+               coalesce(list(len(regexp_extract_all(text, '[^ 	-
+]+'))::bigint order by place)
                  filter (place is not null), []) as words
         from convs left join rebuilt using (conv_id) group by convs.conv_id
     ), members as (
@@ -373,3 +375,48 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.with_shared_openings(turns))
+
+
+@query(
+    r"""
+    with words as (
+        select doc_id, lang, piece, unnest(w) as word, unnest(range(len(w))) as place from (
+            select doc_id, lang, piece, regexp_extract_all(text, '[^\x20\x09]+') as w from (
+                select row_number() over () as doc_id, coalesce(lang, 'und') as lang,
+                       unnest(range(len(string_split_regex(coalesce(text, ''), '[.,;:!?\x0A-\x0D]')))) as piece,
+                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as text from documents))
+    ), totals as (
+        select lang, count(*)::hugeint as n from words group by lang
+    ), grams as (
+        select lang, m, array_to_string(case m when 1 then [word] when 2 then [word, b] when 3 then [word, b, c]
+                 when 4 then [word, b, c, d] else [word, b, c, d, e] end, ' ') as phrase
+        from (select *, lead(word, 1) over p as b, lead(word, 2) over p as c, lead(word, 3) over p as d,
+                     lead(word, 4) over p as e, unnest([1, 2, 3, 4, 5]) as m
+              from words window p as (partition by doc_id, piece order by place))
+        where m = 1 or (m = 2 and b is not null) or (m = 3 and c is not null) or (m = 4 and d is not null) or e is not null
+    ), counts as (
+        select lang, m, phrase, count(*)::hugeint as a from grams group by all having count(*) >= 100
+    ), phrases as (
+        select *, string_split(phrase, ' ') as w from counts where m > 1
+    ), inside as (
+        select distinct lang, array_to_string(w[i:i + j - 1], ' ') as phrase, a
+        from (select *, unnest(range(1, m - j + 2)) as i from (select *, unnest(range(2, m)) as j from phrases))
+    ), cuts as (
+        select p.lang, p.phrase, p.a, k, l.a as l, r.a as r, n, 1000 * p.a * n // (l.a * r.a) as score
+        from (select *, unnest(range(1, m)) as k from phrases anti join inside using (lang, phrase, a)) p
+        join counts l on l.lang = p.lang and l.phrase = array_to_string(w[1:k], ' ')
+        join counts r on r.lang = p.lang and r.phrase = array_to_string(w[k + 1:], ' ')
+        join totals on totals.lang = p.lang
+    ), best as (
+        select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+    )
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
+           score::bigint as score
+    from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from best)
+    where rank <= 2000
+    """
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = collocations.frequent_phrases(table(spark, sf_dir, "documents"))
+    return collocations.collocations(phrases).drop("first_doc")
