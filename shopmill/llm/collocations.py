@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,15 +18,16 @@ LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
 #: Most bits of the map of frequent fingerprints that tasks get (64 MB), and bits for each fingerprint below that.
-MAP_BITS, BITS_EACH = 1 << 29, 24
+MAP_BITS, BITS_EACH = 1 << 29, 32
+#: Which bits of a fingerprint give its slots in a map, and in that of the proofs, which has to be surer.
+SLOTS, SURER_SLOTS = (0, 17, 34), (0, 9, 18, 27, 36, 45)
 #: Fingerprints that a task holds before it adds equal ones up, and characters of a text that are hashed together.
 HELD, BLOCK = 4_000_000, 1 << 22
-#: Occurrences whose bytes are compared at once.
-PAIRS = 200_000
 
 # Rabin-Karp polynomials modulo 2**64: an odd base has an inverse, so a prefix sum gives every substring's value.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+OTHER_BASE = 0xD6E8FEB86659FD93
 
 PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 IS_SPACE, IS_END = np.zeros(256, bool), np.zeros(256, bool)
@@ -35,13 +36,11 @@ IS_END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 
 
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, ``size`` of each."""
-    steps = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-    for s in steps:
-        s[0] = 1
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
+def _powers(base: int, size: int) -> np.ndarray:
+    """The first ``size`` powers of a base."""
+    steps = np.full(size, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +58,8 @@ class Words:
     ``ends[i]`` is the first word after word i that is in another piece or text.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], bits: int = 64):
+        self.bits = bits
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         is_end = IS_END[data]
         inside = ~(IS_SPACE[data] | is_end)
@@ -75,9 +75,14 @@ class Words:
         letters = np.ones(len(self.flat), bool)
         letters[self.close - 1] = False
         self.flat[letters] = data[inside]
-        power, self.inverse = _powers(1 << max(10, len(self.flat).bit_length()))
-        self.prefix = np.zeros(len(self.flat) + 1, np.uint64)
-        np.cumsum((self.flat + np.uint64(1)) * power[: len(self.flat)], out=self.prefix[1:])
+        self.size = 1 << max(10, len(self.flat).bit_length())
+        self.prefix = self._prefix(BASE)
+        self.inverse = _powers(INVERSE, self.size)
+
+    def _prefix(self, base: int) -> np.ndarray:
+        out = np.zeros(len(self.flat) + 1, np.uint64)
+        np.cumsum((self.flat + np.uint64(1)) * _powers(base, self.size)[: len(self.flat)], out=out[1:])
+        return out
 
     def starts(self, n: int) -> np.ndarray:
         """Where an n-gram begins: words with n - 1 more in their piece."""
@@ -87,21 +92,34 @@ class Words:
         """Of the n-grams that begin with the given words, by two looks at the prefix sums each."""
         first = self.open[at]
         values = (self.prefix[self.close[at + n - 1]] - self.prefix[first]) * self.inverse[first]
-        return _mix(values + np.uint64(seed))
+        return _mix(values + np.uint64(seed)) & np.uint64((1 << self.bits) - 1)
+
+    @cached_property
+    def _other(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._prefix(OTHER_BASE), _powers(pow(OTHER_BASE, -1, 1 << 64), self.size)
+
+    def proofs(self, at: np.ndarray, n: int, seed: int, prints: np.ndarray) -> np.ndarray:
+        """Fingerprints that also hold a second polynomial, of another base, over the same bytes."""
+        first, (prefix, inverse) = self.open[at], self._other
+        values = (prefix[self.close[at + n - 1]] - prefix[first]) * inverse[first]
+        return _mix(values * np.uint64(2 * n + 1) + np.uint64(seed)) ^ prints
 
     def phrase(self, at: int, n: int) -> str:
         return bytes(self.flat[self.open[at] : self.close[at + n - 1] - 1]).decode("utf-8", "replace")
 
 
 class Map:
-    """A bit per slot of fingerprints; a fingerprint whose bit is not set is not in the set that the map was made of."""
+    """A few bits per fingerprint; one of which a bit is not set is not in the set that the map was made of."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+    def __init__(self, bits: np.ndarray, shifts: tuple[int, ...] = SLOTS):
+        self.bits, self.mask, self.shifts = bits, np.uint64(len(bits) * 64 - 1), shifts
 
     def has(self, prints: np.ndarray) -> np.ndarray:
-        slot = prints & self.mask
-        return (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        found = np.ones(len(prints), bool)
+        for shift in self.shifts:
+            slot = prints >> np.uint64(shift) & self.mask
+            found &= (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
 
 
 def _seed(lang: str) -> int:
@@ -131,11 +149,21 @@ def _blocks(frame: pd.DataFrame) -> Iterator[tuple[str, list[int], list[bytes]]]
             yield lang, marks, held
 
 
+def _marks(words: Words, marks: list[int], texts: list[bytes]) -> np.ndarray:
+    """The mark of the text of each word."""
+    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    return np.array(marks, np.int64)[text_of[words.start]]
+
+
+def _level(n: int) -> int:
+    """Words are counted first, then pairs, then all longer phrases."""
+    return min(n, 3)
+
+
 def _may_be_frequent(words: Words, n: int, seed: int, known: dict[int, Map]) -> np.ndarray:
-    """Beginnings of the n-grams of which all shorter known parts may be frequent; no other can be frequent."""
-    at = words.starts(n)
-    part = max((m for m in known if m < n), default=None)
-    if part is not None:
+    """Beginnings of the n-grams of which all parts of the level before may be frequent; no other can be frequent."""
+    at, part = words.starts(n), _level(n) - 1
+    if part in known:
         ok = np.zeros(len(words.ends), bool)
         first = words.starts(part)
         ok[first] = known[part].has(words.fingerprints(first, part, seed))
@@ -144,7 +172,7 @@ def _may_be_frequent(words: Words, n: int, seed: int, known: dict[int, Map]) ->
     return at
 
 
-def _tally(lengths: tuple[int, ...], known: dict[int, Map]):
+def _tally(lengths: tuple[int, ...], known: dict[int, Map], bits: int = 64):
     """Rows ``print, n, mark``: how often a fingerprint occurs in a task's texts, and the smallest mark of such a text."""
 
     def add_up(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -158,9 +186,8 @@ def _tally(lengths: tuple[int, ...], known: dict[int, Map]):
         held, size = [], 0
         for frame in stream:
             for lang, marks, texts in _blocks(frame):
-                words, seed = Words(texts), _seed(lang)
-                text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[words.start]
-                mark_of = np.array(marks, np.int64)[text_of]
+                words, seed = Words(texts, bits), _seed(lang)
+                mark_of = _marks(words, marks, texts)
                 for n in lengths:
                     at = _may_be_frequent(words, n, seed, known)
                     if len(at):
@@ -181,86 +208,72 @@ def _tally(lengths: tuple[int, ...], known: dict[int, Map]):
     return batches
 
 
-def _by_text(
-    words: Words, at: np.ndarray, prints: np.ndarray, mark_of: np.ndarray, n: int
-) -> Iterator[tuple[str, int, int]]:
-    """Phrase, number and smallest mark of the n-grams that begin with the given words.
+def _at_pointer(prints: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """One key of a fingerprint and the text that its pointer names; `_pointers` gives the same in Spark."""
+    return prints ^ marks.view(np.uint64) << np.uint64(20)
 
-    Occurrences with one fingerprint lie together; each is compared with the one before it byte by byte. Where two
-    differ, the whole group is told apart by its texts.
-    """
-    if not len(at):
-        return
-    length = words.close[at + n - 1] - words.open[at]
-    order = np.lexsort((length, prints))
-    at, length = at[order], length[order]
-    new = (np.diff(prints[order], prepend=~prints[order[:1]]) != 0) | (np.diff(length, prepend=-1) != 0)
-    group = np.cumsum(new) - 1
-    mixed: set[int] = set()
-    pairs = np.flatnonzero(~new)
-    for first in range(0, len(pairs), PAIRS):
-        here = pairs[first : first + PAIRS]
-        size = length[here]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        a, b = (np.repeat(words.open[at[one]], size) + inside for one in (here, here - 1))
-        mixed.update(group[np.repeat(here, size)[words.flat[a] != words.flat[b]]].tolist())
-    starts = np.flatnonzero(new)
-    counts, marks = np.diff(starts, append=len(at)), np.minimum.reduceat(mark_of[at], starts)
-    for number, (start, count, mark) in enumerate(zip(starts.tolist(), counts.tolist(), marks.tolist())):
-        if number not in mixed:
-            yield words.phrase(at[start], n), count, mark
-            continue
-        for one in at[start : start + count].tolist():
-            yield words.phrase(one, n), 1, int(mark_of[one])
-
-
-def _materialise(known: dict[int, Map]):
-    """Rows ``lang, words, phrase, n, mark``, and with 0 words and an empty phrase how many words there are.
-
-    Only phrases whose fingerprint may be frequent are written out, and equal ones are told by their text: two
-    phrases with one fingerprint are two phrases.
+
+def _pointers(phrases: DataFrame) -> DataFrame:
+    return phrases.select(F.col("print").bitwiseXOR(F.shiftleft("mark", 20)).alias("print"))
+
+
+def _read_texts(known: dict[int, Map], chosen: Map, as_pointers: bool, bits: int = 64):
+    """Rows ``print, lang, words, phrase, n, proof`` of n-grams whose fingerprint may be frequent.
+
+    With ``as_pointers`` those in the texts that ``chosen`` points to, so nearly one row per fingerprint, and with 0
+    words the number of words of a language. Otherwise ``chosen`` has the proofs of the phrases that were read so, and
+    the rows are the n-grams that are not among them: other texts with a frequent fingerprint.
     """
 
     def batches(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, int] = {}
-        found: dict[tuple[str, int, str], list[int]] = {}
+        found: dict[tuple[int, str, int, str, int], int] = {}
         for frame in stream:
             for lang, marks, texts in _blocks(frame):
-                words, seed = Words(texts), _seed(lang)
+                words, seed = Words(texts, bits), _seed(lang)
                 totals[lang] = totals.get(lang, 0) + len(words.start)
-                text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[words.start]
-                mark_of = np.array(marks, np.int64)[text_of]
+                mark_of = _marks(words, marks, texts)
                 for n in known:
                     at = _may_be_frequent(words, n, seed, known)
                     prints = words.fingerprints(at, n, seed)
                     hit = known[n].has(prints)
-                    for phrase, count, mark in _by_text(words, at[hit], prints[hit], mark_of, n):
-                        entry = found.setdefault((lang, n, phrase), [0, mark])
-                        entry[0] += count
-                        entry[1] = min(entry[1], mark)
+                    if as_pointers:
+                        hit[hit] = chosen.has(_at_pointer(prints[hit], mark_of[at[hit]]))
+                    at, prints = at[hit], prints[hit]
+                    proofs = words.proofs(at, n, seed, prints)
+                    if not as_pointers:
+                        other = ~chosen.has(proofs)
+                        at, prints, proofs = at[other], prints[other], proofs[other]
+                    values = zip(prints.view(np.int64).tolist(), at.tolist(), proofs.view(np.int64).tolist())
+                    for value, place, proof in values:
+                        entry = (value, lang, n, words.phrase(place, n), proof)
+                        found[entry] = found.get(entry, 0) + 1
             if len(found) > HELD // 8:
-                yield _rows(found, {})
+                yield rows(found, {})
                 found = {}
-        yield _rows(found, totals)
+        yield rows(found, totals)
 
-    def _rows(found: dict, totals: dict) -> pd.DataFrame:
-        rows = [(lang, n, phrase, count, mark) for (lang, n, phrase), (count, mark) in found.items()]
-        rows += [(lang, 0, "", count, 0) for lang, count in totals.items()]
-        return pd.DataFrame(rows, columns=["lang", "words", "phrase", "n", "mark"])
+    def rows(found: dict, totals: dict) -> pd.DataFrame:
+        out = [(*entry, n) for entry, n in found.items()]
+        out += [(0, lang, 0, "", 0, n) for lang, n in totals.items() if as_pointers]
+        return pd.DataFrame(out, columns=["print", "lang", "words", "phrase", "proof", "n"])
 
     return batches
 
 
-def _map_of(prints: DataFrame) -> Map:
+READ = "print long, lang string, words int, phrase string, proof long, n long"
+
+
+def _map_of(prints: DataFrame, shifts: tuple[int, ...] = SLOTS) -> Map:
     """The bits of a table of fingerprints: put together on the executors, at most ``MAP_BITS`` of them reach the driver."""
-    count = prints.count()
-    size = min(MAP_BITS, 1 << max(10, (count * BITS_EACH).bit_length()))
-    slot = F.col("print").bitwiseAND(F.lit(size - 1))
-    bit = F.expr("shiftleft(1L, cast(print & 63 as int))")
-    parts = prints.groupBy(F.shiftright(slot, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    size = min(MAP_BITS, 1 << max(10, (prints.count() * BITS_EACH * len(shifts) // len(SLOTS)).bit_length()))
+    slots = F.array(*(F.shiftrightunsigned("print", shift).bitwiseAND(F.lit(size - 1)) for shift in shifts))
+    spots = prints.select(F.explode(slots).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    parts = spots.groupBy(F.shiftright("slot", 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
     bits = np.zeros(size // 64, np.uint64)
     bits[parts["place"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).view(np.uint64)
-    return Map(bits)
+    return Map(bits, shifts)
 
 
 def frequent_phrases(
@@ -270,37 +283,55 @@ def frequent_phrases(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    bits: int = 64,
 ) -> DataFrame:
-    """``lang, words, phrase, n, first_doc``: every phrase of up to ``longest`` words that occurs ``least`` times.
+    """``lang, words, phrase, n``: every phrase of up to ``longest`` words that occurs ``least`` times.
 
-    A language's row with 0 words has the number of all its words. ``first_doc`` is the smallest key of a text that
-    has the phrase (null where all of them are null).
+    A language's row with 0 words has the number of all its words.
 
     N-grams are fingerprints until the end: a prefix polynomial over a block of text gives each by two looks, tasks
-    add equal ones up, and one shuffle sums fingerprint, count and the pointer to a text. Words come first, then
-    pairs, then longer phrases; what contains a rarer part cannot be frequent and is not sent, which tasks see in a
-    map of bits of the frequent parts. Such a map may say yes wrongly, which costs a row, and never no. The last pass
-    reads the texts for the fingerprints that were frequent, compares the words of all occurrences, counts by text,
-    and so tells apart phrases that share a fingerprint.
+    add equal ones up, and one shuffle sums fingerprint, count and the pointer to a text, the smallest key of those
+    that have it. Words come first, then pairs, then longer phrases; what contains a rarer part cannot be frequent and
+    is not sent, which tasks see in a map of bits of the frequent parts. Such a map may say yes wrongly, which costs a
+    row, and never no. Phrases are read from the texts that the pointers name, frequent ones only. A last pass holds
+    every occurrence of a frequent fingerprint against the phrase that was read for it, by a second polynomial: texts
+    that only share the fingerprint are counted by themselves and taken off its count. (Such a text is overlooked if
+    the map of the second polynomials says yes wrongly, for one in ten thousand of the accidents of 64 bits.) ``bits``
+    is the size of fingerprints; small ones make many accidents.
+
+    Null texts are empty, a null language is ``und``; rows with a null key are pointed to by a hash of their text.
+    Repeated rows count each; rows that share a key may be read in place of each other. Empty tables have no row.
     """
+    content = whole_text(text)
     rows = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 62) - 1)).alias("mark"),
-        whole_text(text).alias("text"),
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(content)).alias("mark"),
+        content.alias("text"),
     )
     known: dict[int, Map] = {}
-    for lengths in [(1,), (2,), tuple(range(3, longest + 1))]:
-        lengths = tuple(n for n in lengths if n <= longest)
-        if not lengths:
-            continue
-        tallied = rows.mapInPandas(_tally(lengths, known), "print long, n long, mark long")
+    levels = []
+    for level in range(1, _level(longest) + 1):
+        lengths = tuple(n for n in range(1, longest + 1) if _level(n) == level)
+        tallied = rows.mapInPandas(_tally(lengths, known, bits), "print long, n long, mark long")
         summed = tallied.groupBy("print").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
-        bits = _map_of(saved(summed.filter(F.col("n") >= least).select("print", "mark")))
-        known |= dict.fromkeys(lengths, bits)
-    written = rows.mapInPandas(_materialise(known), "lang string, words int, phrase string, n long, mark long")
-    summed = written.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
-    kept = summed.filter((F.col("n") >= least) | (F.col("words") == 0))
-    return kept.select("lang", "words", "phrase", "n", F.when(F.col("mark") < (1 << 62) - 1, F.col("mark")).alias("first_doc"))
+        levels.append(saved(summed.filter(F.col("n") >= least).withColumn("level", F.lit(level))))
+        known |= dict.fromkeys(lengths, _map_of(levels[-1]))
+    prints = reduce(DataFrame.unionByName, levels)
+
+    read = saved(rows.mapInPandas(_read_texts(known, _map_of(_pointers(prints)), True, bits), READ))
+    sizes = read.filter("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    key, level = ["print", "level"], F.least("words", F.lit(_level(longest))).alias("level")
+    read = read.filter("words > 0").withColumn("level", level)
+    texts = read.groupBy(*key).agg(F.min(F.struct("lang", "words", "phrase", "proof")).alias("t"))
+    phrases = saved(prints.join(texts, key).select(*key, "n", "t.*"))
+    proofs = _map_of(phrases.select(F.col("proof").alias("print")), SURER_SLOTS)
+    others = rows.mapInPandas(_read_texts(known, proofs, False, bits), READ).withColumn("level", level)
+    others = saved(others.groupBy(*key, "lang", "words", "phrase").agg(F.sum("n").alias("n")))
+    others = others.join(prints.select(*key), key, "left_semi")
+    strange = others.groupBy(*key).agg(F.sum("n").alias("strange"))
+    own = phrases.join(strange, key, "left").withColumn("n", F.col("n") - F.coalesce("strange", F.lit(0)))
+    names = ["lang", "words", "phrase", "n"]
+    return own.select(*names).unionByName(others.select(*names)).filter(F.col("n") >= least).unionByName(sizes)
 
 
 def _whole(value: Column | str) -> Column:
@@ -308,7 +339,7 @@ def _whole(value: Column | str) -> Column:
 
 
 def collocations(phrases: DataFrame, top: int | None = TOP) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score, first_doc`` from `frequent_phrases`, the best ``top`` of each language.
+    """``lang, rank, phrase, a, l, r, n, score`` from `frequent_phrases`, the best ``top`` of each language.
 
     ``a`` counts the phrase, ``l`` and ``r`` the parts of the cut with the lowest ``floor(1000 a n / (l r))``, the
     earliest of equal ones; ``n`` counts the language's words. Parts of a frequent phrase are frequent, so they are in
@@ -319,7 +350,7 @@ def collocations(phrases: DataFrame, top: int | None = TOP) -> DataFrame:
     phrases = saved(phrases)
     sizes = phrases.filter("words = 0").select("lang", F.col("n").alias("total"))
     counts = phrases.filter("words > 0").select("lang", "words", "phrase", F.col("n").alias("count"))
-    whole = phrases.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), "first_doc")
+    whole = phrases.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"))
 
     inner = whole.filter("words > 2").select("lang", "a", F.split("phrase", " ").alias("w"))
     parts = F.array(
@@ -333,7 +364,6 @@ def collocations(phrases: DataFrame, top: int | None = TOP) -> DataFrame:
         "lang",
         "phrase",
         "a",
-        "first_doc",
         "k",
         F.array_join(F.expr("slice(w, 1, k)"), " ").alias("head"),
         F.array_join(F.expr("slice(w, k + 1, words - k)"), " ").alias("tail"),
@@ -344,10 +374,10 @@ def collocations(phrases: DataFrame, top: int | None = TOP) -> DataFrame:
     above, below = _whole(F.col("a") * 1000) * _whole("total"), _whole("l") * _whole("r")
     exact = scored.withColumn("above", above).withColumn("below", below).withColumn("score", F.expr("above div below"))
     lowest = F.min(F.struct("score", "k", "l", "r")).alias("best")
-    best = exact.groupBy("lang", "phrase", "a", "first_doc", "total").agg(lowest)
+    best = exact.groupBy("lang", "phrase", "a", "total").agg(lowest)
     order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long"))
     ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
     return ranked.select(
-        "lang", "rank", "phrase", "a", "best.l", "best.r", F.col("total").alias("n"), "best.score", "first_doc"
+        "lang", "rank", "phrase", "a", "best.l", "best.r", F.col("total").alias("n"), "best.score"
     )

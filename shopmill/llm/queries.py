@@ -419,4 +419,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = collocations.frequent_phrases(table(spark, sf_dir, "documents"))
-    return collocations.collocations(phrases).drop("first_doc")
+    return collocations.collocations(phrases)
