@@ -19,6 +19,7 @@ from shopmill.llm import (
     prefix_trie,
     quality,
     simhash,
+    toxicity,
     warc,
 )
 
@@ -420,3 +421,9 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = collocations.frequent_phrases(table(spark, sf_dir, "documents"))
     return collocations.collocations(phrases)
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
