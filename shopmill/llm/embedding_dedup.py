@@ -6,8 +6,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmill.llm.common import saved
@@ -15,9 +16,15 @@ from shopmill.llm.components import components
 
 #: Rows of a cell that are compared with each other at once; larger cells are cut into blocks of this size.
 BLOCK = 1024
-#: Most cells, and most distinct vectors that their centres are fitted on (about 20 a cell).
-MAX_CELLS, SAMPLE_PER_CELL = 4096, 20
+#: Vectors that a cell is meant to be home to. Cells lie in coarse cells; at most so many coarse cells, and cells in one.
+RESIDENTS, MAX_COARSE, MAX_FINE = 256, 2048, 512
+#: Distinct vectors that centres are fitted on, for each centre.
+SAMPLE_PER_CELL = 20
 ROUNDS = 8
+#: Rows of a coarse cell that one task places in its cells.
+PLACED_TOGETHER = 50_000
+#: A cell's number: that of its coarse cell, and below it this many bits for its own.
+FINE_BITS = 20
 
 
 def spherical_k_means(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -38,9 +45,11 @@ def margin(threshold: float, size: int) -> float:
 
     Linked vectors differ by a chord of ``sqrt(2 - 2 threshold)`` at most. Along a given direction, such as that from
     one centre to another, a difference in no particular direction has the chord over the root of the dimension as
-    standard deviation; this is twice that. A pair is missed only if neither of the two visits the other's cell.
+    standard deviation; this is one and a quarter of that. One of two linked vectors lies no further from the border
+    between their cells than half their difference across it, and a pair is missed only if neither of the two visits
+    the other's cell.
     """
-    return 2 * math.sqrt(2 - 2 * threshold) / math.sqrt(size)
+    return 1.25 * math.sqrt(2 - 2 * threshold) / math.sqrt(size)
 
 
 def _unit(arrays: pa.Array, size: int) -> np.ndarray:
@@ -49,39 +58,119 @@ def _unit(arrays: pa.Array, size: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its cell, and which others are near: those whose border with its own is within reach."""
+    dots = x @ centres.T
+    home = dots.argmax(axis=1)
+    lead = dots[np.arange(len(x)), home][:, None] - dots
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
+    close = lead <= reach * np.maximum(apart, 1e-9)
+    close[np.arange(len(x)), home] = False
+    return home, close
+
+
 def _assign(centres: np.ndarray, reach: float):
-    """Adds to each vector its own cell and the cells near it: those whose border with its own is within reach."""
-    gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 512 else None
+    """Adds to each vector its own coarse cell and those near it."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = centres.shape[1]
         for batch in stream:
-            homes, near = [], []
-            for first in range(0, batch.num_rows, 4096):
-                vectors = batch.column("vector").slice(first, 4096)
-                lengths = np.asarray(vectors.value_lengths())
-                fits = np.flatnonzero(lengths == size)
-                part = cells_of(_unit(vectors.take(pa.array(fits)), size)) if len(fits) else iter(())
-                for length in lengths.tolist():  # vectors of another dimension form a cell for it
-                    home, visits = next(part) if length == size else (-length, [])
-                    homes.append(home)
-                    near.append(visits)
-            columns = [*batch.columns, pa.array(homes, pa.int32()), pa.array(near, pa.list_(pa.int32()))]
+            # vectors of another dimension have a coarse cell for it
+            homes = -np.asarray(batch.column("vector").value_lengths()).astype(np.int64)
+            near: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            fits = np.flatnonzero(homes == -size)
+            for first in range(0, len(fits), 2048):
+                part = fits[first : first + 2048]
+                home, close = _cells_of(_unit(batch.column("vector").take(pa.array(part)), size), centres, reach)
+                homes[part] = home
+                for at, row in zip(part.tolist(), close):
+                    near[at] = np.flatnonzero(row).tolist()
+            columns = [*batch.columns, pa.array(homes, pa.int64()), pa.array(near, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "home", "near"])
 
-    def cells_of(x: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        dots = x @ centres.T
-        home = dots.argmax(axis=1)
-        lead = dots[np.arange(len(x)), home][:, None] - dots
-        apart = gaps[home] if gaps is not None else np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
-        close = lead <= reach * np.maximum(apart, 1e-9)
-        close[np.arange(len(x)), home] = False
-        for one, row in zip(home.tolist(), close):
-            yield one, np.flatnonzero(row).tolist()
+    return batches
+
+
+def _fit_fine(frame: pd.DataFrame) -> pd.DataFrame:
+    """Centres of the cells of one coarse cell, from a sample of its residents."""
+    cells = min(MAX_FINE, math.ceil(frame["residents"].iloc[0] / RESIDENTS))
+    sample = _unit(pa.array(frame.sort_values("id")["vector"].tolist()), len(frame["vector"].iloc[0]))
+    centres = spherical_k_means(sample[: cells * SAMPLE_PER_CELL], cells)
+    return pd.DataFrame({"coarse": frame["coarse"].iloc[0], "vector": list(centres)})
+
+
+def _place(threshold: float):
+    """Cells of vectors in their coarse cells. Rows come by coarse cell and salt, the centres of its cells first.
+
+    ``id, cell, own``: the cell in the coarse cell that the vector is nearest to, and those near that one; ``own`` is
+    the one cell that is its home.
+    """
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, centres = None, [], None
+        for batch in stream:
+            marks = np.stack([np.asarray(batch.column(k)) for k in ("coarse", "salt", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                coarse, salt, kind = marks[first].tolist()
+                if (coarse, salt) != at:
+                    at, held, centres = (coarse, salt), [], None
+                rows = batch.slice(first, last - first)
+                size = int(rows.column("vector").value_lengths()[0].as_py())
+                if kind == 0:
+                    held.append(_unit(rows.column("vector"), size))
+                    continue
+                if centres is None:
+                    centres = np.concatenate(held)
+                for start in range(0, rows.num_rows, 2048):
+                    part = rows.slice(start, 2048)
+                    home, close = _cells_of(_unit(part.column("vector"), size), centres, margin(threshold, size))
+                    close[np.arange(len(home)), home] = True
+                    row, fine = np.nonzero(close)
+                    own = (fine == home[row]) & (np.asarray(part.column("home"))[row] == coarse)
+                    ids = np.asarray(part.column("id"))[row]
+                    cell = (coarse << FINE_BITS) + fine
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.array(own)], ["id", "cell", "own"])
 
     return batches
 
 
+def _visits(distinct: DataFrame, size: int, count: int, threshold: float) -> DataFrame:
+    """``id, home, near``: the cell that each vector is resident of, and the others that it visits."""
+    coarse_cells = min(MAX_COARSE, math.ceil(math.sqrt(count / RESIDENTS)) or 1)
+    order = distinct.filter(F.size("vector") == size).orderBy(F.xxhash64("id"), "id")
+    drawn = order.limit(coarse_cells * SAMPLE_PER_CELL).select("vector").toArrow().column("vector").combine_chunks()
+    centres = spherical_k_means(_unit(drawn, size), coarse_cells) if len(drawn) else np.zeros((1, size))
+    schema = "id long, vector array<double>, home long, near array<long>"
+    homes = distinct.select("id", "vector").mapInArrow(_assign(centres, margin(threshold, size)), schema)
+    homes = saved(homes)
+    residents = homes.groupBy(F.col("home").alias("coarse")).agg(F.count("*").alias("residents"))
+    drawn_at = Window.partitionBy("home").orderBy(F.xxhash64("id"), "id")
+    sample = homes.withColumn("drawn", F.row_number().over(drawn_at)).filter(F.col("drawn") <= MAX_FINE * SAMPLE_PER_CELL)
+    sample = sample.select(F.col("home").alias("coarse"), "id", "vector", "drawn").join(residents, "coarse")
+    needed = F.ceil(F.col("residents") / RESIDENTS) * SAMPLE_PER_CELL
+    fine = sample.filter(F.col("drawn") <= needed).groupBy("coarse").applyInPandas(_fit_fine, "coarse long, vector array<double>")
+    fine = saved(fine)
+
+    placed = homes.withColumn("coarse", F.explode(F.concat(F.array("home"), "near")))
+    salts = placed.groupBy("coarse").agg(F.ceil(F.count("*") / PLACED_TOGETHER).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    vectors = placed.join(salts, "coarse").select("coarse", salt.alias("salt"), F.lit(1).alias("kind"), "id", "home", "vector")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    none = F.lit(0).cast("long")
+    heads = fine.join(salts, "coarse").select(
+        "coarse", everywhere.alias("salt"), F.lit(0).alias("kind"), none.alias("id"), none.alias("home"), "vector"
+    )
+    ordered = heads.unionByName(vectors).repartition("coarse", "salt").sortWithinPartitions("coarse", "salt", "kind")
+    visits = ordered.mapInArrow(_place(threshold), "id long, cell long, own boolean")
+    return visits.groupBy("id").agg(
+        F.max(F.when(F.col("own"), F.col("cell"))).alias("home"),
+        F.collect_list(F.when(~F.col("own"), F.col("cell"))).alias("near"),
+    )
+
+
 def _compare(threshold: float):
     """Links inside the blocks of cells: rows ``(id, 0, number of vectors linked)`` and ``(id, id of its group, 0)``."""
 
@@ -91,20 +180,19 @@ def _compare(threshold: float):
         vectors = rows.column("vector").combine_chunks()
         x = _unit(vectors, int(vectors.value_lengths()[0].as_py()))
         near = rows.column("near").to_pylist()
-        found = []
-        for first in range(0, len(x), 512):
-            products = x[first : first + 512] @ x.T
-            a, b = np.nonzero(products >= threshold - 1e-9)
-            a += first
-            a, b = a[a < b], b[a < b]
-            resident = (home[a] == cell) | (home[b] == cell)
-            across = (own[a] != own[b]) | (i == j)
-            a, b = a[resident & across], b[resident & across]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        hosts, others = np.flatnonzero((home == cell) & (own == i)), np.flatnonzero(own == j)
+        for first in range(0, len(hosts), 512):
+            part = hosts[first : first + 512]
+            a, b = np.nonzero(x[part] @ x[others].T >= threshold - 1e-9)
+            a, b = part[a], others[b]
+            # two residents meet once, in the blocks in order; a resident meets guests in every block
+            fits = (home[b] != cell) | ((a < b) if i == j else np.full(len(a), i < j))
+            a, b = a[fits], b[fits]
             if len(a):
                 # a pair with different cells may meet in both: it counts in the lower one then
-                guest, host = np.where(home[a] == cell, b, a), np.where(home[a] == cell, a, b)
-                lower = np.flatnonzero((home[guest] != cell) & (home[guest] < cell))
-                twice = [k for k in lower.tolist() if home[guest[k]] in near[host[k]]]
+                lower = np.flatnonzero((home[b] != cell) & (home[b] < cell))
+                twice = [k for k in lower.tolist() if home[b[k]] in near[a[k]]]
                 a, b = np.delete(a, twice), np.delete(b, twice)
                 edge = np.flatnonzero(np.einsum("kd,kd->k", x[a], x[b]) < threshold)
                 a, b = np.delete(a, edge), np.delete(b, edge)
@@ -162,9 +250,11 @@ def near_duplicates(
     link between different vectors may be missed if neither lies near the border of the other's cell (see `margin`;
     the tests measure recall against all pairs). Equal vectors meet as one before that, so their links are all there.
 
-    The number of cells is half the root of the number of vectors. Every vector belongs to one cell, and visits those
-    whose border is near; only pairs with a resident count. Cells are cut into blocks of rows by hash, and each pair
-    of blocks is compared on its own, so a cell with a third of all vectors is many small tasks.
+    The number of cells follows that of vectors: spherical k-means finds coarse cells on a sample, and cells of about
+    `RESIDENTS` vectors inside each coarse cell on a sample of its own. A vector is resident of one cell and visits
+    those whose border is near; residents are compared with all vectors of their cell, guests not with each other.
+    Large cells are cut into blocks of rows by hash, and each pair of blocks is compared on its own, so a cell with a
+    third of all vectors is many small tasks.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, neither do vectors of
     different dimension; dimensions other than the most frequent have a cell each. Rows with a null key are returned
@@ -186,23 +276,19 @@ def near_duplicates(
     )
     sizes = {r[0]: r[1] for r in distinct.groupBy(F.size("vector")).count().orderBy(F.desc("count")).limit(1).collect()}
     size, count = next(iter(sizes.items()), (1, 0))
-    cells = min(MAX_CELLS, math.ceil(math.sqrt(count) / 2) or 1)
-    order = distinct.filter(F.size("vector") == size).orderBy(F.xxhash64("id"), "id").limit(cells * SAMPLE_PER_CELL)
-    sample = np.array([r[0] for r in order.select("vector").collect()], float).reshape(-1, size)
-    if len(sample):
-        sample /= np.abs(sample).max(axis=1, keepdims=True)
-        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    centres = spherical_k_means(sample, cells) if len(sample) else np.zeros((1, size))
-    schema = "id long, copies long, vector array<double>, home int, near array<int>"
-    homes = distinct.drop("digest").mapInArrow(_assign(centres, margin(threshold, size)), schema)
+    visits = _visits(distinct, size, count, threshold)
+    homes = distinct.drop("digest").join(visits, "id")
     placed = saved(homes.withColumn("cell", F.explode(F.concat(F.array("home"), "near"))))
     counts = placed.groupBy("cell").agg(F.count("*").alias("rows"))
     parted = placed.join(counts, "cell").withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    blocks = parted.withColumn("own", own).withColumn("other", other)
-    blocks = blocks.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    blocks = blocks.select("cell", "i", "j", "own", "id", "copies", "home", "near", "vector")
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    # a row stands in the second block of pairs; a resident also in the first
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    second = F.transform(others, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    first = F.transform(others, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    pairs = F.when(F.col("home") == F.col("cell"), F.array_union(first, second)).otherwise(second)
+    blocks = parted.withColumn("pair", F.explode(pairs))
+    blocks = blocks.select("cell", "pair.i", "pair.j", "own", "id", "copies", "home", "near", "vector")
     ordered = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
     found = saved(ordered.mapInArrow(_compare(threshold), "a long, b long, n long"))
     degrees = found.filter("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
