@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shopmill.llm.common import saved
 from shopmill.llm.components import components
 
-#: Rows of a cell that are compared with each other at once; larger cells are cut into blocks of this size.
+#: Residents of a cell that are compared at once, with four times as many rows; larger cells are cut into such blocks.
 BLOCK = 1024
 #: Vectors that a cell is meant to be home to. Cells lie in coarse cells; at most so many coarse cells, and cells in one.
 RESIDENTS, MAX_COARSE, MAX_FINE = 256, 2048, 512
@@ -175,19 +175,20 @@ def _compare(threshold: float):
     """Links inside the blocks of cells: rows ``(id, 0, number of vectors linked)`` and ``(id, id of its group, 0)``."""
 
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cell, i, j = (rows.column(n)[0].as_py() for n in ("cell", "i", "j"))
-        ids, copies, home, own = (rows.column(n).to_numpy() for n in ("id", "copies", "home", "own"))
+        cell = rows.column("cell")[0].as_py()
+        ids, copies, home = (rows.column(n).to_numpy() for n in ("id", "copies", "home"))
+        hosting, hosted = (rows.column(n).to_numpy() for n in ("hosting", "hosted"))
         vectors = rows.column("vector").combine_chunks()
         x = _unit(vectors, int(vectors.value_lengths()[0].as_py()))
         near = rows.column("near").to_pylist()
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        hosts, others = np.flatnonzero((home == cell) & (own == i)), np.flatnonzero(own == j)
+        hosts, others = np.flatnonzero((home == cell) & hosting), np.flatnonzero(hosted)
         for first in range(0, len(hosts), 512):
             part = hosts[first : first + 512]
             a, b = np.nonzero(x[part] @ x[others].T >= threshold - 1e-9)
             a, b = part[a], others[b]
-            # two residents meet once, in the blocks in order; a resident meets guests in every block
-            fits = (home[b] != cell) | ((a < b) if i == j else np.full(len(a), i < j))
+            # two residents meet both ways round: once counts
+            fits = (home[b] != cell) | (ids[a] < ids[b])
             a, b = a[fits], b[fits]
             if len(a):
                 # a pair with different cells may meet in both: it counts in the lower one then
@@ -279,16 +280,21 @@ def near_duplicates(
     visits = _visits(distinct, size, count, threshold)
     homes = distinct.drop("digest").join(visits, "id")
     placed = saved(homes.withColumn("cell", F.explode(F.concat(F.array("home"), "near"))))
-    counts = placed.groupBy("cell").agg(F.count("*").alias("rows"))
-    parted = placed.join(counts, "cell").withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    parted = parted.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    # a row stands in the second block of pairs; a resident also in the first
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    second = F.transform(others, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    first = F.transform(others, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    pairs = F.when(F.col("home") == F.col("cell"), F.array_union(first, second)).otherwise(second)
+    resident = F.col("home") == F.col("cell")
+    counts = placed.groupBy("cell").agg(
+        F.ceil(F.count_if(resident) / BLOCK).cast("int").alias("hosting"),
+        F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("hosted"),
+    )
+    parted = placed.join(counts, "cell").filter("hosting > 0")
+    for name in ("hosting", "hosted"):
+        parted = parted.withColumn(f"own_{name}", F.pmod(F.xxhash64("id"), name).cast("int"))
+    # a row stands in its second block of pairs; a resident also in its first
+    second = F.transform(F.sequence(F.lit(0), F.col("hosting") - 1), lambda i: F.struct(i.alias("i"), F.col("own_hosted").alias("j")))
+    first = F.transform(F.sequence(F.lit(0), F.col("hosted") - 1), lambda j: F.struct(F.col("own_hosting").alias("i"), j.alias("j")))
+    pairs = F.when(resident, F.array_union(first, second)).otherwise(second)
     blocks = parted.withColumn("pair", F.explode(pairs))
-    blocks = blocks.select("cell", "pair.i", "pair.j", "own", "id", "copies", "home", "near", "vector")
+    sides = [(F.col(f"own_{name}") == F.col(f"pair.{at}")).alias(name) for name, at in (("hosting", "i"), ("hosted", "j"))]
+    blocks = blocks.select("cell", "pair.i", "pair.j", *sides, "id", "copies", "home", "near", "vector")
     ordered = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
     found = saved(ordered.mapInArrow(_compare(threshold), "a long, b long, n long"))
     degrees = found.filter("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
