@@ -40,14 +40,19 @@ ELEMENT_ARROW = pa.struct(
 )
 PAGES_PER_BATCH = 128
 
-# Every form takes in all that it has looked at: one that is not closed runs to the end of the page and is dropped
-# there. So no character is read twice, and the time is linear in the page.
+# An attribute has a name, which may hold quotes, and maybe a value; a quote opens a value only where the value begins
+# and then runs to the next such quote, whatever stands between. Every form takes in all that it has looked at: one that
+# is not closed runs to the end of the page and is dropped there. So no character is read more than twice, and the time is linear.
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)"
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?)?)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<ended>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<source>{_ATTRIBUTES})(?:(?P<closed>>)|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(
+    r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))?)?"
+)
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 MAY_HIDE = re.compile("hidden|display", re.I)
 
@@ -226,13 +231,14 @@ def _read(html: str, inspect, levels: int) -> _Page:
         if token.start() > at:
             page.add_text(entities.unescape(html[at : token.start()]))
         at = token.end()
-        closing, opening, source = token.groups()
-        if (closing or opening) and html[at - 1] != ">":
+        if token["tag"] is None:
+            continue
+        if not token["closed"]:
             break
-        if closing:
-            page.end(closing.lower())
-        elif opening:
-            tag = opening.lower()
+        tag, source = token["tag"].lower(), token["source"]
+        if token["ended"]:
+            page.end(tag)
+        else:
             if tag in IMPLIED_ENDS:
                 page.imply_ends(tag)
             item = page.open(tag, source, inspect, levels)

@@ -291,7 +291,7 @@ def test_rank_check(spark):
 
 @pytest.mark.parametrize(
     "piece",
-    ["<a", "<a x ", "</a", "<!--", "<!x", '<a x="', "<a x='", "<script></script", "<p><button>", "<div></b>", "<table><td>"],
+    ["<a", "<a x ", "</a", "<a x=", "<a x = ", "<a x=y\"", "<a \"='", "x ", "<!--", "<!x", '<a x="', "<a x='", "<script></script", "<p><button>", "<div></b>", "<table><td>"],
 )
 def test_markup_that_never_ends_takes_linear_time(piece):
     def seconds(size):
@@ -311,7 +311,34 @@ def test_end_tags_and_implied_ends_do_not_walk_deep_trees():
 
 @pytest.mark.parametrize("tail", ["<b", "<b x", '<b title="x>y', "</p", "<!-- x", "<!doctype", "<b x='>"])
 def test_a_tag_cut_off_by_the_end_of_the_page_is_dropped(tail):
+    # also where the page ends with ">": an open value quote takes it in
     text, _, elements, _ = _shred("<p>kept" + tail, _inspector(None), 0)
-    complete = tail.endswith(">")
     assert text == "kept"
-    assert [e[5] for e in elements] == (["p", "b"] if complete else ["p"])
+    assert [e[5] for e in elements] == ["p"]
+
+
+@pytest.mark.parametrize(
+    "tag, attributes",
+    [
+        ("<b x y>", {"x": "", "y": ""}),
+        ("<b x = 1 y=a/b>", {"x": "1", "y": "a/b"}),
+        ("<b x='a>b' y=\"c'>d\">", {"x": "a>b", "y": "c'>d"}),
+        ("<b x=\"1\"y='2'z=3>", {"x": "1", "y": "2", "z": "3"}),
+        ("<b x=a\"b=c'd>", {"x": "a\"b=c'd"}),  # quotes and = inside a bare value
+        ("<b a\"b' c>", {"a\"b'": "", "c": ""}),  # quotes in names open nothing
+        ("<b x= y>", {"x": "y"}),
+        ("<b x=>", {"x": ""}),
+        ("<b/x/y=1/>", {"x": "", "y": "1/"}),
+        ("<b X=1 x=2>", {"x": "1"}),  # the first of equal names counts
+        ("<b x='&lt;&amp;'>", {"x": "<&"}),
+    ],
+)
+def test_attributes_of_a_start_tag(tag, attributes):
+    text, _, elements, _ = _shred(f"{tag}in</b>out", _inspector(None), 0)
+    (found,) = elements
+    assert (text, found[5], found[11]) == ("inout", "b", attributes)
+
+
+def test_an_end_tag_may_hold_attributes_and_comments_hide_tags():
+    text, _, elements, _ = _shred("<p>a</p x='>'>b<!-- <i> -->c<!x y>d<?z <u>e", _inspector(None), 0)
+    assert (text, [e[5] for e in elements]) == ("abcde", ["p"])
