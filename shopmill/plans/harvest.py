@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shopmill.functions import urls
 from shopmill.operators.catalog import stage_from_csv_columns, to_catalog, to_stage
-from shopmill.operators.extract import extract_products, split_throttled
+from shopmill.operators.extract import extract_products
+from shopmill.operators.quarantine import NOTHING_FOUND, only_pages, readable, route_pages
 from shopmill.operators.rank import search_link_lists
 from shopmill.operators.skew import join_unique
 from shopmill.session import HarvestSettings
@@ -25,6 +26,10 @@ class Harvest:
     products: DataFrame
     stage: DataFrame
     runs: DataFrame
+    #: ``page_id, url, reason``: stored pages that cannot be used and have to be fetched again.
+    refetch: DataFrame
+    #: ``page_id``: the pages that were taken apart.
+    parsed: DataFrame
     first_catalog_id: int
 
     @cached_property
@@ -33,11 +38,32 @@ class Harvest:
         return to_catalog(self.stage, self.first_catalog_id)
 
 
-def _products_by_asin(pages: DataFrame, at: Column | None, limit: int) -> DataFrame:
-    """One record per product: that of the newest stored page."""
-    records = extract_products(pages, at=at, description_limit=limit).filter(F.col("asin").isNotNull())
-    newest = F.max_by(F.struct(*records.columns), "page_id").alias("r")
-    return records.groupBy("asin").agg(newest).select("r.*")
+def _products(
+    pages: DataFrame, copies: DataFrame, work_dir: str, at: Column | None, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """One record per product of ``copies(page_id, url, asin)``, that of the newest page that gives one, and what was read.
+
+    The second table has ``page_id, url, found``. The newest copy of each product is read first; older copies are
+    read only for products whose newest page has neither title nor price.
+    """
+
+    def read(wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        wanted = _written(wanted.select("page_id", "url", "asin"), os.path.join(work_dir, f"{name}_pages"))
+        records = extract_products(only_pages(pages, wanted), at=at, description_limit=limit)
+        records = _written(records, os.path.join(work_dir, f"{name}_records"))
+        got = wanted.join(records.select("page_id", F.lit(True).alias("found")), "page_id", "left")
+        return records, got.withColumn("found", F.coalesce("found", F.lit(False)))
+
+    newest = copies.groupBy("asin").agg(F.max("page_id").alias("page_id"), F.max_by("url", "page_id").alias("url"))
+    first, tried = read(newest, "newest")
+    missing = tried.filter(~F.col("found"))
+    if missing.isEmpty():
+        return first, tried.select("page_id", "url", "found")
+    rest = copies.join(missing.select("asin"), "asin", "left_semi").join(missing.select("page_id"), "page_id", "left_anti")
+    second, tried_again = read(rest, "older")
+    latest = F.max_by(F.struct(*second.columns), "page_id").alias("r")
+    products = first.unionByName(second.groupBy("asin").agg(latest).select("r.*"))
+    return products, tried.unionByName(tried_again).select("page_id", "url", "found")
 
 
 def harvest(
@@ -50,23 +76,38 @@ def harvest(
 ) -> Harvest:
     """Run the job over ``terms(term_pos, term)`` and ``pages(page_id, url, html)``.
 
-    HTML never moves: search and product pages are read where they lie, and only their links and records are
-    joined. Link lists, products, staging rows and runs are written under ``work_dir`` (a folder that all executors share), so
-    the steps after them start from tables and neither parse a page again nor depend on an executor that may be lost.
+    A first pass over the pages routes each by string tests: pages that cannot be read go to ``refetch`` with a
+    reason. What is read then follows from narrow tables: the newest readable copy of each search page that a term
+    asks for, and of each product that their lists name. No other page is taken apart. HTML does not move (see
+    `only_pages`). Routes, link lists, products, staging rows and runs are written under ``work_dir`` (a folder that
+    all executors share), so the steps after them start from tables and neither parse a page again nor depend on an
+    executor that may be lost.
     """
     n = settings.products_per_page
-    pages = pages.withColumn("url", urls.rewrite_host(F.col("url")))
     seeds = terms.withColumn("search_url", urls.search_url(F.col("term")))
+    routes = _written(route_pages(pages), os.path.join(work_dir, "routes"))
+    pages = pages.withColumn("url", urls.rewrite_host(F.col("url")))
 
-    readable, _ = split_throttled(pages.filter(F.col("url").contains("/s?k=")).withColumnRenamed("url", "search_url"))
-    lists = search_link_lists(readable, n, keep=("search_url",))
+    asked = readable(routes).withColumnRenamed("url", "search_url").join(seeds, "search_url", "left_semi")
     # of several stored copies of a search page the newest counts
-    newest = lists.groupBy("search_url").agg(F.max_by("p.links", "page_id").alias("links"))
-    newest = _written(newest.withColumn("stored", F.lit(True)), os.path.join(work_dir, "links"))
-    searched = join_unique(seeds, newest, "search_url", "left")
-
-    products = _products_by_asin(pages.filter(F.col("url").rlike(urls.ASIN_PATTERN)), at, settings.description_limit)
+    search_ids = _written(
+        asked.groupBy("search_url").agg(F.max("page_id").alias("page_id")), os.path.join(work_dir, "search_pages")
+    )
+    search_pages = only_pages(pages, search_ids).withColumnRenamed("url", "search_url")
+    lists = search_link_lists(search_pages, n, keep=("search_url",))
+    lists = lists.select("search_url", F.col("p.links").alias("links"), F.lit(True).alias("stored"))
+    lists = _written(lists, os.path.join(work_dir, "links"))
+    searched = join_unique(seeds, lists, "search_url", "left")
+
+    named = lists.select(F.explode("links.asin").alias("asin")).distinct()
+    copies = readable(routes).withColumn("asin", urls.extract_asin(F.col("url")))
+    products, tried = _products(
+        pages, copies.join(named, "asin", "left_semi"), work_dir, at, settings.description_limit
+    )
     products = _written(products, os.path.join(work_dir, "products"))
+    refused = tried.filter(~F.col("found")).select("page_id", "url", F.lit(NOTHING_FOUND).alias("reason"))
+    refetch = routes.filter(F.col("reason").isNotNull()).unionByName(refused)
+    parsed = search_ids.select("page_id").unionByName(tried.select("page_id"))
     # staging fields are worked out once per product, not once per list that the product stands in
     staged = to_stage(products, key="asin", limit=settings.short_description_limit)
     wanted = searched.select("term_pos", "search_url", F.posexplode("links").alias("place", "l")).select(
@@ -77,7 +118,7 @@ def harvest(
     found = join_unique(wanted, staged.drop("product_seq", "category"), "sku").select(*staged.columns)
     stage = _written(found, os.path.join(work_dir, "stage"))
 
-    counts = stage.groupBy(F.expr(f"product_seq div {n}").cast("int").alias("term_pos")).agg(
+    counts = stage.groupBy(F.expr(f"product_seq div {n}").alias("term_pos")).agg(
         F.count("*").alias("product_count")
     )
     success = F.col("stored").isNotNull()
@@ -92,7 +133,7 @@ def harvest(
         F.when(~success, F.lit("no readable page is stored for this URL")).alias("error"),
     )
     runs = _written(runs, os.path.join(work_dir, "runs"))
-    return Harvest(products, stage, runs, settings.first_catalog_id)
+    return Harvest(products, stage, runs, refetch, parsed, settings.first_catalog_id)
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:

@@ -168,11 +168,12 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _harvest(spark: SparkSession, sf_dir: str):
+def _harvest(spark: SparkSession, sf_dir: str, products: DataFrame | None = None):
     terms = table(spark, sf_dir, "part").selectExpr(
-        "cast(p_partkey AS int) AS term_pos", "concat('term ', p_partkey) AS term"
+        "p_partkey AS term_pos", "concat('term ', p_partkey) AS term"
     )
-    pages = product_pages(spark, sf_dir).unionByName(search_pages(spark, sf_dir))
+    products = product_pages(spark, sf_dir) if products is None else products
+    pages = products.unionByName(search_pages(spark, sf_dir))
     return harvest(spark, terms, pages, work_folder(spark))
 
 
@@ -182,7 +183,7 @@ _FOUND_SQL = """
 
 
 @query(f"""
-SELECT CAST(t.p_partkey AS INTEGER) AS term_pos, t.p_partkey % 5 <> 3 AS success,
+SELECT t.p_partkey AS term_pos, t.p_partkey % 5 <> 3 AS success,
        CASE WHEN t.p_partkey % 5 <> 3 THEN 'term ' || t.p_partkey END AS category_name,
        coalesce(c.n, 0) AS product_count
 FROM part t LEFT JOIN (SELECT term, count(*) AS n FROM ({_FOUND_SQL}) GROUP BY term) c ON c.term = t.p_partkey
@@ -192,16 +193,23 @@ def harvest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harvest(spark, sf_dir).runs.select("term_pos", "success", "category_name", "product_count")
 
 
+_HARVEST_ROWS_SQL = f"""
+SELECT term, i, k, CASE k % 3 WHEN 1 THEN 'M,S,XL'
+         WHEN 2 THEN array_to_string(list_sort([CAST(p_size AS VARCHAR), CAST(p_size + 2 AS VARCHAR), 's']), ',')
+         ELSE '' END AS sizes, CAST(CASE k % 3 WHEN 1 THEN 7 WHEN 2 THEN 4 ELSE 1 END AS BIGINT) AS rows
+FROM ({_FOUND_SQL})"""
+
+
 @query(f"""
-SELECT 'term ' || term AS category, 'B' || lpad(CAST(k AS VARCHAR), 9, '0') AS sku,
-       CASE k % 3 WHEN 1 THEN 'M,S,XL' WHEN 2 THEN array_to_string(list_sort([CAST(p_size AS VARCHAR), CAST(p_size + 2 AS VARCHAR), 's']), ',')
-         ELSE '' END AS sizes,
-       CASE k % 3 WHEN 1 THEN 'variable' WHEN 2 THEN 'variable' ELSE 'simple' END AS kind,
-       CAST(CASE k % 3 WHEN 1 THEN 7 WHEN 2 THEN 4 ELSE 1 END AS BIGINT) AS rows
-FROM ({_FOUND_SQL})
+SELECT 'term ' || term AS category, 'B' || lpad(CAST(k AS VARCHAR), 9, '0') AS sku, sizes,
+       CASE WHEN rows > 1 THEN 'variable' ELSE 'simple' END AS kind, rows,
+       CAST(10000 + before AS BIGINT) AS first_id, CAST(10000 + before + rows - 1 AS BIGINT) AS last_id,
+       CASE WHEN rows > 1 THEN 'id:' || CAST(10000 + before AS BIGINT) END AS parent
+FROM (SELECT *, coalesce(sum(rows) OVER (ORDER BY term, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM ({_HARVEST_ROWS_SQL}))
 """)
 def harvest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms and pages through the whole job: each product with its number of catalog rows."""
+    """Terms and pages through the whole job: each product with its catalog rows, their numbers and their parent."""
     rows = _harvest(spark, sf_dir).catalog
     return rows.groupBy("product_seq").agg(
         F.max("Categories").alias("category"),
@@ -209,4 +217,45 @@ def harvest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("k") == 0, F.col("Attribute 1 value(s)"))).alias("sizes"),
         F.max(F.when(F.col("k") == 0, F.col("Type"))).alias("kind"),
         F.count("*").alias("rows"),
-    ).drop("product_seq")
+        F.min("ID").alias("first_id"),
+        F.max("ID").alias("last_id"),
+        # of all variations: two parents would show
+        F.array_join(F.sort_array(F.collect_set("Parent")), " ").alias("parents"),
+    ).withColumn("parent", F.nullif("parents", F.lit(""))).drop("product_seq", "parents")
+
+
+@query("""
+SELECT page_id, url, reason FROM (
+    SELECT p_partkey AS page_id,
+           CASE p_partkey % 12 WHEN 3 THEN 'https://elsewhere.example/dp/B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')
+             WHEN 4 THEN 'https://www.amazon.com/gp/switch-language?to=' || p_partkey
+             ELSE 'https://www.amazon.com/dp/B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS url,
+           CASE p_partkey % 12 WHEN 1 THEN 'empty page' WHEN 2 THEN 'throttled' WHEN 3 THEN 'redirected' WHEN 4 THEN 'redirected'
+             -- a page that no list names is not read, so nothing is known to be missing in it
+             WHEN 5 THEN CASE WHEN EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 5 <> 3
+                 AND p.p_partkey BETWEEN t.p_partkey AND t.p_partkey + 4) THEN 'no title and no price' END END AS reason
+    FROM part p
+    UNION ALL
+    SELECT p_partkey + 1000000000, 'https://www.amazon.com/s?k=term+' || p_partkey
+             || '&s=exact-aware-popularity-rank&language=en_US&currency=USD',
+           CASE WHEN p_partkey % 5 = 3 THEN 'throttled' END
+    FROM part)
+WHERE reason IS NOT NULL
+""")
+def pages_to_refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twelfth product page is empty, throttled, redirected in two ways, or has nothing to read."""
+    kind = F.col("page_id") % 12
+    asin = F.concat(F.lit("B"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
+    html = (
+        F.when(kind == 1, F.when(F.col("page_id") % 2 == 1, " \n").otherwise(F.lit(None).cast("string")))
+        .when(kind == 2, F.concat("html", F.lit("Request was throttled. Please wait a moment and refresh the page")))
+        .when(kind == 5, F.lit("<html><body><p>gone</p></body></html>"))
+        .otherwise(F.col("html"))
+    )
+    url = (
+        F.when(kind == 3, F.concat(F.lit("https://elsewhere.example/dp/"), asin))
+        .when(kind == 4, F.concat(F.lit("https://www.amazon.com/gp/switch-language?to="), F.col("page_id").cast("string")))
+        .otherwise(F.col("url"))
+    )
+    products = product_pages(spark, sf_dir).select("page_id", url.alias("url"), html.alias("html"))
+    return _harvest(spark, sf_dir, products).refetch

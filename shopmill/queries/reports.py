@@ -11,7 +11,7 @@ from shopmill.queries.registry import query, table
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "cast(event_id AS int) AS term_pos",
+        "event_id AS term_pos",
         "concat('https://x/s?k=', user_id) AS url",
         "event_type <> 'error' AS success",
         "if(event_type = 'error', NULL, event_type) AS category_name",
@@ -48,14 +48,14 @@ def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(event_id AS INTEGER) AS term_pos, 'term ' || o_custkey AS term,
+SELECT event_id AS term_pos, 'term ' || o_custkey AS term,
        CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Success' END AS status,
        CASE WHEN event_type = 'error' THEN 'N/A' ELSE event_type END AS category_name
 FROM events JOIN orders ON event_id = o_orderkey
 """)
 def run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "orders").selectExpr(
-        "cast(o_orderkey AS int) AS term_pos", "concat('term ', o_custkey) AS term"
+        "o_orderkey AS term_pos", "concat('term ', o_custkey) AS term"
     )
     return report.run_detail(terms, runs(spark, sf_dir))
 
@@ -70,7 +70,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(event_id AS INTEGER) AS term_pos, event_type AS category_name, user_id AS product_count
+SELECT event_id AS term_pos, event_type AS category_name, user_id AS product_count
 FROM events WHERE event_type NOT IN ('error', 'view') AND user_id > 0
 """)
 def useful_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ PRODUCT = T.StructType(
 
 RUNS = T.StructType(
     [
-        T.StructField("term_pos", T.IntegerType()),
+        T.StructField("term_pos", T.LongType()),
         T.StructField("url", T.StringType()),
         T.StructField("success", T.BooleanType()),
         T.StructField("category_name", T.StringType()),

@@ -27,7 +27,7 @@ def search_terms(lines: DataFrame, column: str = "line") -> DataFrame:
     """``term_pos, term`` from comma-separated lines (all columns of ``lines`` but the text are kept)."""
     others = [name for name in lines.columns if name != column]
     split = lines.select(*others, F.posexplode(F.split(column, ",")).alias("term_pos", "raw"))
-    return split.select(*others, "term_pos", strip(F.col("raw")).alias("term")).filter(F.col("term") != "")
+    return split.select(*others, F.col("term_pos").cast("long").alias("term_pos"), strip(F.col("raw")).alias("term")).filter(F.col("term") != "")
 
 
 def seeds(spark: SparkSession, text: str) -> DataFrame:

@@ -11,6 +11,8 @@ from shopmill.operators.catalog import expand_rows, to_catalog
 from shopmill.operators.numbering import number_blocks
 from shopmill.operators.rank import first_per_asin, limit_ranked, use_fallback
 from shopmill.operators.skew import join_unique
+from shopmill.operators.quarantine import only_pages
+from shopmill.operators.shred import shred
 from shopmill.plans.harvest import catalog_from_csv, harvest
 from shopmill.schemas import CATALOG_COLUMNS, RUNS, STAGE_COLUMNS
 from shopmill.session import HarvestSettings
@@ -227,7 +229,48 @@ def test_whole_job(spark, tmp_path):
         (True, "red shoe", 2), (True, "cup", 1), (False, None, 0),
     ]
     assert [r["ID"] for r in out.catalog.orderBy("ID").collect()] == list(range(10000, 10009))
-    assert out.products.count() == 3
+    # Product 3 is in no list; of the other two products the newest pages are read, and no page else
+    assert out.products.count() == 2
+    read = {r["page_id"] for r in out.parsed.collect()}
+    named = {r["page_id"] for r in out.products.collect()}
+    assert named < read and out.products.filter("title = 'Product 3'").isEmpty()
+    assert all("/s?k=" in r["url"] for r in pages.collect() if r["page_id"] in read - named)
+
+
+def test_only_wanted_pages_reach_the_tokenizer(spark):
+    pages = spark.range(50).selectExpr("id as page_id", "'u' as url", "concat('<h1>', id, '</h1>') as html")
+    ids = spark.createDataFrame([(7,), (8,), (99,)], "page_id bigint")
+    for limit, join in ((10, "BroadcastHashJoin"), (2, "Join")):
+        found = shred(only_pages(pages, ids, limit))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("LeftSemi")  # the join is below, on page_id
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["page_id"], r["text"]) for r in found.collect()) == [(7, "7"), (8, "8")]
+
+
+def test_routes_and_older_copies(spark, tmp_path):
+    good, poor = "<span id='productTitle'>Good {}</span>".format, "<p>nothing to read</p>"
+    dp = "https://www.amazon.com/dp/B00000000{}".format
+    search = "<div data-component-type='s-search-result'><a href='/dp/B00000000{}'>x</a></div>".format
+    rows = [
+        (1, "https://www.amazon.com/s?k=cup&s=exact-aware-popularity-rank&language=en_US&currency=USD",
+         "".join(search(i) for i in range(1, 6))),
+        (10, dp(1), good("old")), (11, dp(1), good("older but read")), (12, dp(1), poor),
+        (20, dp(2), good("x").replace("<", " Request was throttled. Please wait a moment and refresh the page <", 1)),
+        (21, "https://www.amazon.co.uk/dp/B000000003", good("regional")),
+        (30, dp(4), poor), (40, dp(5), None), (41, None, good("no address")), (42, "https://x.example/dp/B000000005", "x"),
+        (50, dp(9), poor),  # no list names it
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    terms = spark.createDataFrame([(0, "cup")], "term_pos bigint, term string")
+    out = harvest(spark, terms, pages, str(tmp_path))
+    assert {(r["page_id"], r["title"]) for r in out.products.collect()} == {(11, "Good older but read"), (21, "Good regional")}
+    assert {r["page_id"]: r["reason"] for r in out.refetch.collect()} == {
+        12: "no title and no price", 20: "throttled", 30: "no title and no price", 40: "empty page", 41: "no address",
+        42: "redirected",
+    }
+    assert sorted(r["page_id"] for r in out.parsed.collect()) == [1, 10, 11, 12, 21, 30]
+    assert [r["product_count"] for r in out.runs.collect()] == [2]
 
 
 def test_stream_gives_the_records_of_the_batch(spark, tmp_path):
