@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from shopmill.operators.catalog import stage_from_csv_columns, to_catalog, to_stage
 from shopmill.plans.harvest import catalog_from_csv, harvest
 from shopmill.queries.product_pages import product_pages
-from shopmill.queries.registry import query, table, work_folder
+from shopmill.queries.registry import dealt_table, query, table, work_folder
 from shopmill.schemas import CATALOG_COLUMNS, PRICE, STAGE_COLUMNS
 from shopmill.sources.csv_files import read_stage_csv, write_catalog, write_stage
+from shopmill.sources.tables import read_pages
 
 _PRICE = "cast(p_retailprice AS decimal(12,2))"
 
@@ -157,7 +158,7 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search page per term, listing five products, some of which are not stored; some pages are throttled."""
-    return table(spark, sf_dir, "part").selectExpr(
+    return dealt_table(spark, sf_dir, "part", "p_partkey").selectExpr(
         "p_partkey + 1000000000 AS page_id",
         """concat('https://www.amazon.cn/s?k=term+', p_partkey,
             '&s=exact-aware-popularity-rank&language=en_US&currency=USD') AS url""",
@@ -173,8 +174,9 @@ def _harvest(spark: SparkSession, sf_dir: str, products: DataFrame | None = None
         "p_partkey AS term_pos", "concat('term ', p_partkey) AS term"
     )
     products = product_pages(spark, sf_dir) if products is None else products
-    pages = products.unionByName(search_pages(spark, sf_dir))
-    return harvest(spark, terms, pages, work_folder(spark))
+    folder = work_folder(spark)
+    products.unionByName(search_pages(spark, sf_dir)).write.parquet(f"{folder}/pages")
+    return harvest(spark, terms, read_pages(spark, f"{folder}/pages"), folder)
 
 
 _FOUND_SQL = """

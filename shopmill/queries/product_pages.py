@@ -12,7 +12,7 @@ from shopmill.functions.columns import with_computed
 from shopmill.functions.prices import money_text
 from shopmill.operators.extract import alternative_prices, content_types, extract_products
 from shopmill.plans import vocabulary as v
-from shopmill.queries.registry import query, table
+from shopmill.queries.registry import dealt_table, query
 
 _KEY = "p_partkey"
 _TEN = "cast(cast(p_retailprice AS decimal(12,2)) * 10 AS decimal(12,2))"
@@ -78,7 +78,7 @@ _PIECES = [
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, url, html``: one page per part, covering every branch of every field."""
-    part = table(spark, sf_dir, "part").selectExpr(
+    part = dealt_table(spark, sf_dir, "part", "p_partkey").selectExpr(
         "*",
         "if(p_partkey % 4 = 3, concat('A ', p_name), p_name) AS title",
         f"concat('$', format_number({_TEN}, 2)) AS money",

@@ -15,7 +15,7 @@ from shopmill.operators.rank import (
     search_links,
     use_fallback,
 )
-from shopmill.queries.registry import query, table
+from shopmill.queries.registry import dealt_table, query, table
 
 # Each page holds twelve items. Some are sponsored, some repeat a product, some have a badge (one without a number),
 # and in some the first link is no product link that can be read.
@@ -29,7 +29,7 @@ _ITEM = """concat('<div data-component-type="s-search-result">',
 
 
 def _pages(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return dealt_table(spark, sf_dir, "part", "p_partkey").selectExpr(
         "p_partkey AS page_id",
         "concat('https://www.amazon.com/s?k=', p_partkey) AS url",
         f"concat('<html><body><ul>', {body}, '</ul></body></html>') AS html",

@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A narrow table from which a query makes much wider rows, dealt to all tasks before it does.
+
+    Its few bytes would otherwise be one split, and one task would make and read all pages. The number is fixed by
+    the session, since adaptive execution would merge partitions by the size of the narrow rows.
+    """
+    return table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the place that the executors share."""
     return os.path.join(ensure_checkpoint_dir(spark), f"work-{os.urandom(8).hex()}")
