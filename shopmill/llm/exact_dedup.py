@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,29 +22,63 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(f"`{key}`").alias(key), F.unhex(hexed).alias("digest"))
 
 
+#: Buckets of an index that is not told how many.
+BUCKETS = 64
+
+
 class DigestIndex:
     """A table ``digest, keep_id``, bucketed and sorted by digest, in a folder that outlives the session.
 
     A digest is in it once, with the smallest key of the batch that brought it. New digests are found by a sort-merge
     anti-join for which only the batch is shuffled, never the index, and appended in the same buckets.
+
+    The number of buckets is written beside the folder by the first session that opens it. It is a property of the
+    files: later ones may leave it out, and get a ``ValueError`` if they give another. Every batch adds a file to each
+    bucket; `compact` makes one again, whose sort order Spark then uses.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, key: str = "bigint"):
-        self.spark, self.folder, self.buckets = spark, folder or work_folder(spark), buckets
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, key: str = "bigint"):
+        self.spark, self.folder = spark, folder or work_folder(spark)
+        given = buckets if folder is None else self._stored()
+        if given is None:
+            given = buckets or BUCKETS
+        elif buckets not in (None, given):
+            raise ValueError(f"the index in {folder} has {given} buckets, not {buckets}")
+        self.buckets, self.key = given, key
+        if folder is None or self._stored() is None:
+            spark.range(1).select(F.lit(given).alias("buckets")).write.parquet(f"{self.folder}-layout")
         self.name = f"digest_index_{os.urandom(8).hex()}"
         spark.sql(
             f"create table {self.name} (digest binary, keep_id {key}) using parquet "
-            f"clustered by (digest) sorted by (digest) into {buckets} buckets location '{self.folder}'"
+            f"clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{self.folder}'"
         )
 
+    def _stored(self) -> int | None:
+        """The number of buckets that the folder's files have; None for a new folder."""
+        try:
+            return self.spark.read.schema("buckets int").parquet(f"{self.folder}-layout").first()["buckets"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def compact(self, folder: str | None = None) -> DigestIndex:
+        """The same index in a new folder, with one file per bucket."""
+        copy = DigestIndex(self.spark, folder, self.buckets, self.key)
+        copy._write(self.table())
+        return copy
+
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.repartition(self.buckets, "digest").write.format("parquet").mode("append")
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Add what is new of ``batch(digest, keep_id)``, which has each digest once; returns the new rows."""
         new = saved(batch.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
-        writer = new.repartition(self.buckets, "digest").write.format("parquet").mode("append")
-        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        self._write(new)
         return new
 
 

@@ -54,7 +54,8 @@ def with_shared_openings(turns: DataFrame, family: int = 20, choices: int = 4) -
     """Conversations rebuilt on their family's opening: ``conv, turns``.
 
     Conversation c takes its first h turns from conversation ``c - c % family`` (fewer if that has fewer, none if it
-    is absent) and goes on with its own turns after its first h; ``h = crc32(decimal c) % choices``. At most
+    is absent) and goes on with its own turns after its first h; ``h = crc32(decimal c) % choices``. As in SQL, a
+    remainder has the sign of c, so the families of negative ids lie below zero. At most
     ``choices - 1`` turns of a conversation are joined to at most ``family`` others.
     """
     h = (F.crc32(F.col("conv").cast("string").cast("binary")) % choices).cast("int")

@@ -126,12 +126,33 @@ def test_exact_dedup(spark, odd):
     assert by[3].group_size == by[4].group_size == 4 and by[4].keep_id == 3
     assert by[2].text_sha256 == hashlib.sha256(b" ").hexdigest()
     # a second batch knows the first, also from another session's view of the folder
-    again = exact_dedup.DigestIndex(spark, folder=index.folder, buckets=4)
+    again = exact_dedup.DigestIndex(spark, folder=index.folder)
     later = {r.doc_id: r for r in exact_dedup.deduplicate(table(spark, ["new", "one"]), again).collect()}
     assert later[0].kept and not later[1].kept and later[1].keep_id == 3
     assert again.table().groupBy("digest").count().filter("count > 1").count() == 0
-    plan = again.table().join(again.table().select("digest").distinct(), "digest", "left_anti")
-    assert "Bucketed: true" in plan._jdf.queryExecution().toString() or index.buckets == 4
+
+
+def test_a_reopened_index_keeps_its_buckets(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    texts = [f"text {i}" for i in range(200)]
+    exact_dedup.deduplicate(table(spark, texts), index).count()
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, folder=index.folder, buckets=8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        for again in (exact_dedup.DigestIndex(spark, folder=index.folder), index.compact()):
+            assert again.buckets == 4 and again.table().count() == 200
+            found = exact_dedup.deduplicate(table(spark, [*texts, "new"]).withColumn("doc_id", F.col("doc_id") + 1000), again)
+            assert sorted(r.doc_id for r in found.filter("kept").collect()) == [1200]
+            assert again.table().count() == 201
+            # the index side of the join is read bucket by bucket: only the batch is shuffled
+            batch = table(spark, ["a"]).select(F.unhex(F.sha2("text", 256)).alias("digest"))
+            joined = batch.hint("merge").join(again.table().select("digest").hint("merge"), "digest", "left_anti")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_packing_round_trip(spark, odd):
