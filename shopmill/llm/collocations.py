@@ -22,7 +22,7 @@ MAP_BITS, BITS_EACH = 1 << 29, 32
 #: Which bits of a fingerprint give its slots in a map, and in that of the proofs, which has to be surer.
 SLOTS, SURER_SLOTS = (0, 17, 34), (0, 9, 18, 27, 36, 45)
 #: Fingerprints that a task holds before it adds equal ones up, and characters of a text that are hashed together.
-HELD, BLOCK = 4_000_000, 1 << 22
+HELD, BLOCK = 3_000_000, 1 << 20
 
 # Rabin-Karp polynomials modulo 2**64: an odd base has an inverse, so a prefix sum gives every substring's value.
 BASE = 0x9E3779B97F4A7C15
