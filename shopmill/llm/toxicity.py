@@ -281,18 +281,22 @@ def train(
                             seen[1, at[inside]] = True
                 for kind in (0, 1):
                     total[kind, y, half, np.flatnonzero(seen[kind])] += 1
-        kind, y, half, slot = np.nonzero(total)
-        yield pd.DataFrame({"kind": kind, "y": y, "half": half, "slot": slot, "n": total[kind, y, half, slot]})
-
-    place = ["kind", "y", "half", "slot"]
-    counted = sample.mapInPandas(count, "kind int, y int, half int, slot int, n long")
-    # at most 8 * SLOTS sums, whatever the texts
-    sums = counted.groupBy(*place).agg(F.sum("n").cast("int").alias("n")).toPandas()
+        kind, slot = np.nonzero(total.sum(axis=(1, 2)))
+        found = total[kind, :, :, slot].reshape(len(kind), 4)
+        yield pd.DataFrame({"kind": kind, "slot": slot} | {name: found[:, i] for i, name in enumerate(sides)})
+
+    sides = ["clean_0", "clean_1", "toxic_0", "toxic_1"]
+    schema = "kind int, slot int, " + ", ".join(f"{name} int" for name in sides)
+    counted = sample.mapInPandas(count, schema).groupBy("kind", "slot")
+    # at most 2 * SLOTS rows of sums, whatever the texts
+    sums = counted.agg(*(F.sum(name).cast("int").alias(name) for name in sides)).toArrow()
     rows = np.zeros((2, 2))
     for r in taken.groupBy("y", "half").agg(F.count("*").alias("n")).collect():
         rows[r["y"], r["half"]] = r["n"]
-    counts = np.zeros((2, 2, 2, SLOTS), np.float32)
-    counts[tuple(sums[c].to_numpy() for c in place)] = sums["n"]
+    counts = np.zeros((2, SLOTS, 4), np.float32)
+    place = (sums.column("kind").to_numpy(), sums.column("slot").to_numpy())
+    counts[place] = np.stack([sums.column(name).to_numpy() for name in sides], axis=1)
+    counts = counts.transpose(0, 2, 1).reshape(2, 2, 2, SLOTS)  # kind, label, half, slot
     halves = [Evidence.of(counts[:, :, half], rows[:, half]) for half in (0, 1)]
 
     def cut(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +318,7 @@ def train(
             yield pd.DataFrame(out, columns=["key", "y", "size", "x"])
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, y int, size int, x binary"
-    got = sample.mapInPandas(cut, schema).toPandas().sort_values(["key", "x"], kind="stable")
+    got = sample.mapInPandas(cut, schema).toArrow().to_pandas().sort_values(["key", "x"], kind="stable")
     numbers, row = np.unique(got["key"].to_numpy(), return_inverse=True)
     y = np.zeros(len(numbers))
     y[row] = got["y"]
