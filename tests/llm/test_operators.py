@@ -246,6 +246,40 @@ def test_forward_sums_all_segmentations():
     assert (used[:, 0] * lengths).sum() == pytest.approx(2 * 5)  # each letter and the mark, in two words
 
 
+@pytest.mark.parametrize("size", [40, 300, 9_000])
+def test_words_of_any_length_are_summed_whole(size):
+    vocabulary = {piece: n for n, piece in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "abababababab"])}
+    values = np.array([0.1, 0.2, 0.15, 0.15, 0.1, 0.2, 0.1])
+    marked = "▁" + ("ab" * size)[: size - 1] + "z"
+    logs = [0.0]  # of every beginning of the word, by logarithms of sums
+    for end in range(1, len(marked) + 1):
+        ways = [logs[end - n] + np.log(values[vocabulary[marked[end - n : end]]]) for n in range(1, 13) if marked[max(0, end - n) : end] in vocabulary and n <= end]
+        if marked[end - 1] not in vocabulary:
+            ways.append(logs[end - 1] + np.log(language.STRANGE))
+        logs.append(np.logaddexp.reduce(ways))
+    table_ = language._table(values[:, None])
+    assert language.log_likelihoods([marked[1:]], vocabulary, table_)[0, 0] == pytest.approx(logs[-1])
+
+
+def test_words_are_letters_and_marks_by_unicode():
+    def found(text):
+        return [word for block in language.words(text) for word in block]
+
+    assert found("² ½ ① Ⅷ 42 _") == []
+    assert found("हिन्दी में x² a1B Straße") == ["हिन्दी", "में", "x", "a", "b", "straße"]
+    long = "q" * (language.BLOCK + 5)
+    assert found(f"{long} end") == [long, "end"]
+    pieces = language.pieces(language.VOCABULARY)
+    assert max(map(len, pieces)) > 12
+
+
+def test_marks_and_numbers_alone_have_no_language(spark):
+    docs = table(spark, ["das ist ein Haus und ein Garten", "² ½ ①", "Ⅷ 12", "\u0301"]).withColumn("lang", F.lit("de"))
+    model = language.train(docs.withColumn("doc_id", F.lit(1)), rounds=1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    assert [got[i] for i in sorted(got)][1:] == [("und", 0.0)] * 3 and got[min(got)] == ("de", 1.0)
+
+
 def test_language_of_held_out_documents(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.train(docs, rounds=2)
