@@ -24,6 +24,8 @@ CSS_PART = re.compile(
     r"#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)(?P<q>[\"'])(?P<value>.*?)(?P=q))?\]"
     r"|:(?P<place>first-child|last-child)|:not\((?P<no>[^()]+)\)|(?P<tag>[\w*-]+)"
 )
+#: Steps that go on from the elements found before.
+NO_PROBE = ("parent", "place", "self")
 XPATH_STEP = re.compile(r"(//?)(\.\.|\*|[\w-]+)((?:\[[^\]]*\])*)")
 XPATH_TEST = re.compile(
     r"\[(?:@(?P<attr>[\w-]+)=(?P<q>[\"'])(?P<value>.*?)(?P=q)"
@@ -45,7 +47,7 @@ def _css_tests(part: str, negated: bool = False) -> list[Test]:
             tests.append(("class", None, m["cls"], negated))
         elif m["attr"]:
             kind = {"=": "equals", "*=": "part"}.get(m["op"], "has")
-            tests.append((kind, m["attr"], m["value"], negated))
+            tests.append((kind, m["attr"].lower(), m["value"], negated))
         elif m["place"]:
             tests.append((m["place"], None, None, negated))
         elif m["no"]:
@@ -58,21 +60,38 @@ def _css_tests(part: str, negated: bool = False) -> list[Test]:
 
 
 def _xpath_tests(tag: str, tests: str) -> list[Test]:
-    found: list[Test] = [] if tag == "*" else [("tag", None, tag, False)]
+    found: list[Test] = [] if tag == "*" else [("tag", None, tag.lower(), False)]
     if XPATH_TEST.sub("", tests):
         raise ValueError(f"path test not understood: {tests}")
     for m in XPATH_TEST.finditer(tests):
         if m["attr"]:
-            found.append(("equals", m["attr"], m["value"], False))
+            found.append(("equals", m["attr"].lower(), m["value"], False))
         elif m["part"]:
-            found.append(("part", m["part"], m["text"], False))
+            found.append(("part", m["part"].lower(), m["text"], False))
         elif m["scope"]:
-            found.append(("text", None, m["text"], False))
+            found.append(("text" if m["scope"] == "." else "own", None, m["text"], False))
         else:
             found.append(("nth", None, m["nth"], False))
     return found
 
 
+def _placed(relation: str, tests: list[Test]) -> list[Step]:
+    """A step of a path; a position after another test counts the elements that are left, so it is a step of its own."""
+    steps: list[Step] = []
+    now: list[Test] = []
+    for test in tests:
+        if test[0] != "nth" or not (steps or now):
+            # the first test of any element's position counts all children
+            now.append(("child-nth", *test[1:]) if test[0] == "nth" else test)
+        elif not steps and [kind for kind, *_ in now] == ["tag"]:
+            now.append(test)
+        else:
+            steps += [(relation, now)] if now else []
+            steps.append(("place", [test]))
+            relation, now = "self", []
+    return steps + ([(relation, now)] if now or not steps else [])
+
+
 def steps_of(selector: Selector) -> list[list[Step]]:
     """Alternatives of a selector, each a chain of steps from the outermost element to the wanted one."""
     method, text = selector
@@ -92,7 +111,7 @@ def steps_of(selector: Selector) -> list[list[Step]]:
                 chain.append(("parent", []))
             else:
                 relation = "first" if not chain else "inside" if slashes == "//" else "child"
-                chain.append((relation, _xpath_tests(tag, tests)))
+                chain += _placed(relation, _xpath_tests(tag, tests))
         return [chain]
     raise ValueError(f"unknown selector method: {method}")
 
@@ -104,11 +123,16 @@ def _quote(value: str | None) -> str:
 
 
 def _probe(tests: list[Test]) -> str:
-    """What a start tag must hold to pass the tests: the first that applies of id, class, attribute and tag."""
+    """What a start tag must hold to pass the tests: the first that applies of id, class, attribute and tag.
+
+    A value is looked for as it is, the name of an attribute, after ``@``, in any case.
+    """
     for kinds in (["id"], ["class"], ["equals", "part", "has"]):
         for kind, name, value, negated in tests:
-            if kind in kinds and not negated and (value or name):
-                return value or name
+            if kind in kinds and not negated and value and value[0] not in "<@":
+                return value
+            if kind in kinds and not negated and name:
+                return f"@{name}"
     return "<" + next((value for kind, _, value, negated in tests if kind == "tag" and not negated), "")
 
 
@@ -123,7 +147,7 @@ def _literal(selector: Selector, probes: list[str]) -> str:
                 f"'negated', {str(negated).lower()})"
                 for kind, name, value, negated in tests or [("any", None, None, False)]
             )
-            probe = -1 if relation == "parent" else probes.index(_probe(tests))
+            probe = -1 if relation in NO_PROBE else probes.index(_probe(tests))
             steps.append(f"named_struct('relation', {_quote(relation)}, 'probe', {probe}, 'tests', array({items}))")
         chains.append(f"array({', '.join(steps)})")
     return f"array({', '.join(chains)})"
@@ -139,15 +163,24 @@ _TEST = f"""coalesce(case t.kind
     when 'part' then contains(try_element_at({_E}.attrs, t.name), t.value)
     when 'has' then map_contains_key({_E}.attrs, t.name)
     when 'text' then contains(substring(text, {_E}.text_at + 1, {_E}.text_len), t.value)
+    when 'own' then contains(substring(text, {_E}.own_at + 1, {_E}.own_len), t.value)
     when 'nth' then {_E}.nth = cast(t.value as int)
+    when 'child-nth' then {_E}.child = cast(t.value as int)
     when 'first-child' then {_E}.child = 1
     when 'last-child' then {_E}.last_child
     else true end, false) != t.negated"""
 
-# The elements that the step before found are in before; a step back to the parents starts from them.
-_CANDIDATES = """if(step.relation = 'parent',
-    filter(transform(before, b -> try_element_at(get(elements, b).up, -1)), a -> a is not null),
-    get(having, step.probe))"""
+# The elements that the step before found are in before; a step back to the parents starts from them. For a place they
+# are sorted by parent, so that the first of a parent and the place looked for stand as far apart as the place says.
+_PLACED = """get(transform(array(array_sort(transform(before, b ->
+        struct(coalesce(get(elements, b).parent_pos, -1) as parent, b as at)))), sorted ->
+    transform(filter(sorted, (s, n) -> n + 2 - array_position(sorted.parent, s.parent) = cast(get(step.tests, 0).value as int)),
+        s -> s.at)), 0)"""
+_CANDIDATES = f"""case step.relation
+    when 'parent' then filter(transform(before, b -> try_element_at(get(elements, b).up, -1)), a -> a is not null)
+    when 'place' then {_PLACED}
+    when 'self' then before
+    else get(having, step.probe) end"""
 _RELATED = f"""case step.relation
     when 'inside' then exists({_E}.up, a -> array_contains(before, a))
     when 'child' then exists({_E}.up, a -> array_contains(before, a) and get(elements, a).pos = {_E}.parent_pos)
@@ -155,7 +188,7 @@ _RELATED = f"""case step.relation
 
 _HITS = f"""transform(%s, selector -> array_sort(array_distinct(flatten(transform(selector, chain ->
     aggregate(chain, cast(array() as array<int>), (before, step) -> filter(
-        {_CANDIDATES}, i -> forall(step.tests, t -> {_TEST}) and {_RELATED})))))))"""
+        {_CANDIDATES}, i -> step.relation = 'place' or forall(step.tests, t -> {_TEST}) and {_RELATED})))))))"""
 
 
 class SelectorSet:
@@ -165,7 +198,7 @@ class SelectorSet:
         self.selectors = list(dict.fromkeys(selector for group in groups for selector in group))
 
         steps = [step for selector in self.selectors for chain in steps_of(selector) for step in chain]
-        self.probes = sorted({_probe(tests) for relation, tests in steps if relation != "parent"})
+        self.probes = sorted({_probe(tests) for relation, tests in steps if relation not in NO_PROBE})
 
     def hits(self) -> Column:
         """For each selector the indexes, in document order, of the elements that it matches."""

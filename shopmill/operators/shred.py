@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ELEMENT_DDL = (
     "struct<up:array<int>,pos:int,end_pos:int,parent_pos:int,depth:int,tag:string,nth:int,child:int,last_child:boolean,"
     "id:string,classes:array<string>,attrs:map<string,string>,text_at:int,text_len:int,shown_at:int,"
-    "shown_len:int,visible:boolean>"
+    "shown_len:int,own_at:int,own_len:int,visible:boolean>"
 )
 ELEMENT_ARROW = pa.struct(
     [
@@ -35,6 +35,7 @@ ELEMENT_ARROW = pa.struct(
         ("tag", pa.string()), ("nth", pa.int32()), ("child", pa.int32()), ("last_child", pa.bool_()),
         ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
         ("text_at", pa.int32()), ("text_len", pa.int32()), ("shown_at", pa.int32()), ("shown_len", pa.int32()),
+        ("own_at", pa.int32()), ("own_len", pa.int32()),
         ("visible", pa.bool_()),
     ]
 )
@@ -103,7 +104,8 @@ def _hides(tag: str, source: str, attrs: dict[str, str]) -> bool:
 class _Open:
     """An element whose end tag has not been seen."""
 
-    __slots__ = ("attrs", "block", "child", "children", "counts", "depth", "hidden", "keep", "last", "nth", "pos",
+    __slots__ = ("attrs", "block", "child", "children", "counts", "depth", "hidden", "keep", "last", "nth",
+                 "own_at", "own_children", "own_len", "pos",
                  "shown_at", "tag", "text_at", "unshown")
 
 
@@ -114,6 +116,7 @@ class _Page:
         self.root = _Open()
         self.root.counts, self.root.children, self.root.last, self.root.keep = {}, 0, None, None
         self.root.hidden = self.root.unshown = False
+        self.root.own_at, self.root.own_children, self.root.own_len = None, 0, 0
         self.stack: list[_Open] = []
         self.places: dict[str, list[int]] = {}  # by tag, where in the stack it is open
         self.rows: list[list | None] = []
@@ -129,8 +132,12 @@ class _Page:
 
     def add_text(self, text: str) -> None:
         self.text.append(text)
-        self.text_len += len(text)
         parent = self.stack[-1] if self.stack else self.root
+        if parent.own_at is None:
+            parent.own_at, parent.own_children, parent.own_len = self.text_len, parent.children, len(text)
+        elif parent.own_children == parent.children:
+            parent.own_len += len(text)
+        self.text_len += len(text)
         if parent.unshown or parent.hidden:
             return
         words = " ".join(text.split())
@@ -169,6 +176,7 @@ class _Page:
         elif tag == "br" and not (item.hidden or item.unshown):
             self.show("\n")
         item.text_at, item.shown_at = self.text_len, self.shown_len
+        item.own_at, item.own_children, item.own_len = None, 0, None
         return item
 
     def close(self, item: _Open, parent_pos: int | None) -> None:
@@ -182,7 +190,7 @@ class _Page:
                 None, item.pos, len(rows) - 1, parent_pos, item.depth, item.tag, item.nth, item.child, False,
                 attrs.get("id"), attrs["class"].split() if "class" in attrs else (), attrs,
                 item.text_at, self.text_len - item.text_at, item.shown_at, self.shown_len - item.shown_at,
-                not item.hidden, item.keep,
+                item.own_at, item.own_len, not item.hidden, item.keep,
             ]
         if item.block:
             self.break_line(item)
@@ -232,6 +240,9 @@ def _read(html: str, inspect, levels: int) -> _Page:
             page.add_text(entities.unescape(html[at : token.start()]))
         at = token.end()
         if token["tag"] is None:
+            # a comment ends the run of text before it
+            parent = page.stack[-1] if page.stack else page.root
+            parent.own_children = None if parent.own_at is not None else 0
             continue
         if not token["closed"]:
             break
@@ -304,11 +315,13 @@ def _element_array(pages: list[list[tuple]]) -> pa.ListArray:
 def _inspector(probes: list[str] | None, levels: int = 0):
     """What to know of a start tag: the probes that it has (None: leave the element out), attributes, if it hides.
 
-    The probe ``<td`` asks for the tag, ``<`` for any element, other texts for a literal. A literal counts wherever it
+    The probe ``<td`` asks for the tag, ``<`` for any element, ``@href`` for the name of an attribute in any case, other
+    texts for a literal. A literal counts wherever it
     stands in the start tag, so a probe may report too many elements, never too few. Without probes all are kept.
     """
     tags = {text[1:]: i for i, text in enumerate(probes or ()) if text.startswith("<")}
-    literals = [(i, text) for i, text in enumerate(probes or ()) if not text.startswith("<")]
+    names = [(i, text[1:]) for i, text in enumerate(probes or ()) if text.startswith("@")]
+    literals = [(i, text) for i, text in enumerate(probes or ()) if text[0] not in "<@"]
     anything = re.compile("|".join(re.escape(text) for _, text in literals)) if literals else None
     always = () if probes is None else (tags.pop(""),) if "" in tags else None
     known: dict[tuple[str, str], tuple] = {}
@@ -318,6 +331,9 @@ def _inspector(probes: list[str] | None, levels: int = 0):
         found = always or ()
         if anything is not None and anything.search(plain):
             found += tuple(i for i, text in literals if text in plain)
+        if names and source:
+            lower = source.lower()
+            found += tuple(i for i, name in names if name in lower)
         if tag in tags:
             found += (tags[tag],)
         if not found and always is None and not levels and not MAY_HIDE.search(source):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from shopmill.functions.columns import with_computed
 from shopmill.functions.prices import money_text
 from shopmill.operators.extract import alternative_prices, content_types, extract_products
+from shopmill.operators.select import SelectorSet
+from shopmill.operators.shred import shred
 from shopmill.plans import vocabulary as v
 from shopmill.queries.registry import dealt_table, query
 
@@ -196,3 +198,31 @@ def readable_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.regexp_replace("html", 'id="productTitle"|nav-search-label', 'class="none"')
     changed = F.when(F.col("page_id") % 10 == 0, F.concat("html", throttled)).otherwise(html)
     return extract_products(pages.withColumn("html", changed), fields=[]).select("page_id")
+
+
+@query("""
+SELECT p_partkey AS page_id, 'b' || p_partkey || 'deep' || p_partkey AS second, CAST(0 AS BIGINT) AS inner_texts,
+       CAST(1 + p_partkey % 3 AS BIGINT) AS own_texts, p_name AS keyed
+FROM part
+""")
+def selector_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position after another test, first runs of text without what lies inside, attribute names in any case."""
+    pages = dealt_table(spark, sf_dir, "part", "p_partkey").selectExpr(
+        "p_partkey AS page_id",
+        """concat('<ul><li CLASS="k">a', p_partkey, '</li><li>skip</li><li class="k">b', p_partkey, '<b>deep', p_partkey,
+            '</b></li></ul>', repeat('<i>own<u>deep</u></i>', 1 + p_partkey % 3), '<p Data-Key="', p_name, '">t</p>') AS html""",
+    )
+    second, inner, own = (
+        ("XPATH", path)
+        for path in ("//li[@class='k'][2]", "//i[contains(text(),'deep')]", "//i[contains(text(),'own')]")
+    )
+    keyed = ("CSS_SELECTOR", "[DATA-KEY]")
+    chosen = SelectorSet([second, inner, own, keyed])
+    found = shred(pages, chosen.probes).withColumn("hits", chosen.hits())
+    return found.select(
+        "page_id",
+        chosen.first_text([second]).alias("second"),
+        F.size(chosen.indexes(inner)).cast("long").alias("inner_texts"),
+        F.size(chosen.indexes(own)).cast("long").alias("own_texts"),
+        chosen.first_attribute([keyed], "data-key").alias("keyed"),
+    )

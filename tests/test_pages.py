@@ -80,6 +80,16 @@ def test_pruning_keeps_what_selectors_need(spark):
         (("XPATH", "//p[@class='x'][contains(text(),'6')]"), ["6"]),
         (("XPATH", "//p[@class='x y']/.."), ["1 2 3 4"]),
         (("XPATH", "//*[@data-k='k']"), ["3"]),
+        (("XPATH", "//p[@class='x'][2]"), ["6"]),
+        (("XPATH", "//div/p[contains(@data-k,' ')][1]"), ["2"]),
+        (("XPATH", "//p[@data-k='k'][1]"), ["3"]),
+        (("XPATH", "//p[contains(@class,'x')][2][@data-k='v w']"), ["2"]),
+        (("XPATH", "//p[contains(@class,'x')][2][@data-k='k']"), []),
+        (("XPATH", "//p[contains(@class,'x')][2][1]"), ["2", "6"]),
+        (("XPATH", "//div/*[4]"), ["4"]),
+        (("XPATH", "//div[contains(text(),'4')]"), []),
+        (("XPATH", "//DIV[contains(.,'4')]//p"), ["1", "2", "3", "4"]),
+        (("CSS_SELECTOR", "[DATA-K]"), ["2", "3"]),
     ],
 )
 def test_selectors(pages, selector, texts):
@@ -94,6 +104,22 @@ def test_selectors(pages, selector, texts):
     assert found.select(each.alias("t")).first()["t"] == texts
 
 
+def test_attribute_names_in_any_case_and_first_runs_of_text(pages):
+    html = "<b DATA-Kind=x>1</b><b title='data-kind'>2</b><i>one<u>two</u>three</i><i>f<!-- -->our</i><i>a</zz>b</i>"
+    wanted = {
+        ("CSS_SELECTOR", "[data-kind]"): 1,
+        ("XPATH", "//b[@Data-Kind='x']"): 1,
+        ("XPATH", "//i[contains(text(),'one')]"): 1,
+        ("XPATH", "//i[contains(text(),'two')]"): 0,
+        ("XPATH", "//i[contains(text(),'three')]"): 0,
+        ("XPATH", "//i[contains(text(),'our')]"): 0,
+        ("XPATH", "//i[contains(text(),'ab')]"): 1,
+    }
+    chosen = SelectorSet(list(wanted))
+    found = shred(pages(html).select("page_id", "html"), chosen.probes).withColumn("hits", chosen.hits())
+    assert found.select(F.transform("hits", F.size)).first()[0] == list(wanted.values())
+
+
 @pytest.mark.parametrize("bad", [("CSS_SELECTOR", "a > b"), ("XPATH", "//a[last()]"), ("NAME", "x")])
 def test_unknown_selectors_are_refused(bad):
     with pytest.raises(ValueError):
