@@ -45,9 +45,14 @@ def run_detail(terms: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def file_report(runs: DataFrame) -> DataFrame:
-    """Categories that were written, with what was written for them."""
-    return runs.filter("success").select("category_name", "url", "product_count")
+def file_report(runs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Categories that were written, with what was written for them.
+
+    With ``files`` (see `sources.csv_files.written_files`) a row per file: ``path, bytes, rows`` besides; NULL for a
+    category without a file.
+    """
+    found = runs.filter("success").select("category_name", "url", "product_count")
+    return found if files is None else found.join(files, "category_name", "left")
 
 
 def category_summary(runs: DataFrame) -> DataFrame:

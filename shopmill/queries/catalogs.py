@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmill.functions.urls import safe_file_name
 from shopmill.operators.catalog import stage_from_csv_columns, to_catalog, to_stage
+from shopmill.operators.report import file_report
 from shopmill.plans.harvest import catalog_from_csv, harvest
 from shopmill.queries.product_pages import product_pages
 from shopmill.queries.registry import dealt_table, query, table, work_folder
 from shopmill.schemas import CATALOG_COLUMNS, PRICE, STAGE_COLUMNS
-from shopmill.sources.csv_files import read_stage_csv, write_catalog, write_stage
+from shopmill.sources.csv_files import read_stage_csv, write_catalog, write_stage, written_files
 from shopmill.sources.tables import read_pages
 
 _PRICE = "cast(p_retailprice AS decimal(12,2))"
@@ -156,6 +158,29 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("rows"), F.countDistinct("ID").alias("ids"))
 
 
+@query("""
+SELECT category_name, 'u' || category_name AS url, product_count, coalesce(product_count, 0) AS rows,
+       category_name <> 'none' AS has_files
+FROM (SELECT p_type AS category_name, count(*) FILTER (p_partkey % 6 <> 0) AS product_count FROM part GROUP BY ALL
+      HAVING product_count > 0 UNION ALL SELECT 'none', 0)
+""")
+def stage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of written staging files: what the files of each category hold; one category has none."""
+    folder = work_folder(spark)
+    records = part_records(spark, sf_dir)
+    write_stage(to_stage(records), folder, "20250101_000000")
+    counts = records.filter("category is not null").groupBy(F.col("category").alias("category_name"))
+    counts = counts.agg(F.count("*").alias("product_count")).unionByName(
+        spark.range(1).select(F.lit("none").alias("category_name"), F.lit(0).cast("long").alias("product_count"))
+    )
+    runs = counts.withColumns({"success": F.lit(True), "url": F.concat(F.lit("u"), "category_name")})
+    files = file_report(runs, written_files(spark, folder))
+    named = F.col("path").contains(safe_file_name(F.col("category_name"))) & (F.col("bytes") > 0)
+    return files.groupBy("category_name", "url", "product_count").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.bool_and(named), F.lit(False)).alias("has_files")
+    )
+
+
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search page per term, listing five products, some of which are not stored; some pages are throttled."""
     return dealt_table(spark, sf_dir, "part", "p_partkey").selectExpr(

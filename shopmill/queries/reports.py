@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmill.operators import report
-from shopmill.queries.registry import query, table
+from shopmill.queries.registry import query, table, work_folder
+from shopmill.sources.tables import read_runs, write_runs
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,3 +85,18 @@ FROM events GROUP BY ALL
 """)
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.category_summary(runs(spark, sf_dir))
+
+
+@query("""
+SELECT user_id % 2 AS job, event_type = 'error' AS failed, count(*) AS runs, sum(event_id) AS positions FROM events GROUP BY ALL
+""")
+def runs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two jobs written, one of them twice, and read back: no row is lost or doubled."""
+    folder, log = work_folder(spark), runs(spark, sf_dir)
+    odd = F.col("url").rlike("[13579]$")
+    for job, rows in (("1", log.filter(odd)), ("0", log.filter(~odd)), ("1", log.filter(odd))):
+        write_runs(rows, folder, job)
+    back = read_runs(spark, folder)
+    return back.groupBy(F.col("run_id").cast("long").alias("job"), (~F.col("success")).alias("failed")).agg(
+        F.count("*").alias("runs"), F.sum("term_pos").alias("positions")
+    )

@@ -96,6 +96,24 @@ def write_stage(stage: DataFrame, folder: str, stamp: Column | str) -> None:
     ).mode("overwrite").csv(folder)
 
 
+def written_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``category_name, path, bytes, rows`` per file that `write_stage` wrote into ``folder``, from the files themselves.
+
+    Names of categories can differ in characters that file names cannot hold; a file that holds rows of several
+    categories is listed once for each, with its rows of that category. Only the category of each row is parsed out.
+    """
+    # files that this library writes are UTF-8
+    reader = spark.read.schema(STAGE_CSV).options(**CSV_OPTIONS, multiLine="true", enforceSchema="true")
+    cells = reader.csv(f"{folder}/*/*.csv").select(
+        F.col("Category").alias("category_name"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("bytes"),
+    )
+    return cells.groupBy("category_name", "path", "bytes").agg(F.count("*").alias("rows")).select(
+        "category_name", "path", "bytes", "rows"
+    )
+
+
 def write_catalog(catalog: DataFrame, folder: str) -> None:
     """Catalog files in row order: within a file, and from each file to the next."""
     ordered = catalog.repartitionByRange("product_seq", "k").sortWithinPartitions("product_seq", "k")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopmill.functions import urls
 from shopmill.functions.columns import strip
@@ -16,11 +17,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(path)
+    """Runs of all jobs, with the ``run_id`` that each was written under; a filter on it reads that job's files alone."""
+    return spark.read.schema(T.StructType([*RUNS.fields, T.StructField("run_id", T.StringType())])).parquet(path)
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    runs.select(*RUNS.fieldNames()).write.mode("append").parquet(path)
+def write_runs(runs: DataFrame, path: str, run_id: str = "0") -> None:
+    """Write the runs of the job ``run_id``. A job that is written again replaces its own rows and no other's.
+
+    A table without rows replaces nothing.
+    """
+    rows = runs.select(*RUNS.fieldNames()).withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def search_terms(lines: DataFrame, column: str = "line") -> DataFrame:

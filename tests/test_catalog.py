@@ -1,6 +1,8 @@
 """Staging, catalog, files, numbering, joins of skewed tables, reports, the whole job and the stream."""
 
 import glob
+import os
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from shopmill.operators.shred import shred
 from shopmill.plans.harvest import catalog_from_csv, harvest
 from shopmill.schemas import CATALOG_COLUMNS, RUNS, STAGE_COLUMNS
 from shopmill.session import HarvestSettings
-from shopmill.sources.csv_files import file_encodings, read_stage_csv, write_catalog, write_stage
+from shopmill.sources.csv_files import file_encodings, read_stage_csv, write_catalog, write_stage, written_files
 from shopmill.sources.tables import read_runs, search_terms, seeds, write_runs
 from shopmill.streaming.pages import arriving_pages, write_products
 
@@ -183,6 +185,31 @@ def run(pos, ok, name, seconds, products=1):
     return (pos, f"u{pos}", ok, name, seconds, "w", products, None if ok else "boom")
 
 
+def test_runs_written_again_replace_their_own(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    first = spark.createDataFrame([run(0, True, "a", 2.0), run(3_000_000_000, False, None, None)], RUNS)
+    write_runs(first, path, "2025-01-01 a/b")
+    write_runs(spark.createDataFrame([run(1, True, "b", 1.0)], RUNS), path, "007")
+    write_runs(first, path, "2025-01-01 a/b")
+    write_runs(first.limit(0), path, "007")
+    rows = read_runs(spark, path).select("run_id", "term_pos").collect()
+    assert sorted(map(tuple, rows)) == [("007", 1), ("2025-01-01 a/b", 0), ("2025-01-01 a/b", 3_000_000_000)]
+
+
+def test_file_report_lists_written_files(spark, tmp_path):
+    write_stage(stage(spark, SHOE, BOOT, PLAIN), f"{tmp_path}/stage", "s")
+    files = written_files(spark, f"{tmp_path}/stage").collect()
+    on_disk = glob.glob(f"{tmp_path}/stage/*/*.csv")
+    sizes = {urlparse(r["path"]).path: r["bytes"] for r in files}
+    assert sizes == {os.path.abspath(p): os.path.getsize(p) for p in on_disk}
+    assert sum(r["rows"] for r in files) == 3
+    names = {r["category_name"] for r in files} - {None}
+    runs = spark.createDataFrame([run(i, True, name, 1.0) for i, name in enumerate([*sorted(names), "nothing"])], RUNS)
+    listed = report.file_report(runs, written_files(spark, f"{tmp_path}/stage")).collect()
+    assert {r["category_name"] for r in listed if r["path"]} == names
+    assert [r["rows"] for r in listed if r["category_name"] == "nothing"] == [None]
+
+
 def test_reports(spark, tmp_path):
     runs = spark.createDataFrame([run(0, True, "a", 2.0), run(1, False, None, 0.0, 0), run(2, True, "b", 4.0, 0)], RUNS)
     write_runs(runs, str(tmp_path / "runs"))
