@@ -22,6 +22,8 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES, READ_BYTES = 1 << 30, 8 << 20
 #: Unwanted bytes between two records that are read rather than skipped.
 GAP_BYTES = 64 << 10
+#: Bytes of records that a task reads, on average.
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 INDEX = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -162,8 +164,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
 def read_records(selected: DataFrame) -> DataFrame:
     """The records of index rows: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``.
 
-    The rows are ordered by archive and offset over all tasks; a task joins neighbouring ranges, with the small gaps
-    between them, to one read of at most ``READ_BYTES``. The payload of a response is checked against its digest.
+    Stretches of ``READ_BYTES`` of an archive are dealt to as many tasks as the records' bytes ask for, whatever the size
+    of the index, and sorted there; a task joins neighbouring ranges, with the small gaps between them, to one read of
+    at most ``READ_BYTES``. The payload of a response is checked against its digest.
     """
     schema = _arrow(RECORDS)
 
@@ -196,5 +199,8 @@ def read_records(selected: DataFrame) -> DataFrame:
             opened[1].close()
 
     places = selected.select("archive", "offset", "length")
-    ordered = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = places.repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES))
+    ordered = dealt.sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(batches, RECORDS)

@@ -313,6 +313,15 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch):
     assert got[n + 6].component_id == n + 3 and got[None].component_id is None
 
 
+def test_warc_records_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 4_000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2_000)
+    pages = spark.range(200).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(sha2(cast(id AS string), 512), 4) AS html")
+    records = warc.read_records(warc.write_archives(pages))
+    tasks = records.select("page_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert sorted(r.page_id for r in tasks) == list(range(200)) and len({r.task for r in tasks}) > 8
+
+
 def test_warc_round_trip(spark, monkeypatch):
     big = "ü" * 600
     pages = [(1, "http://a b/\n", big), (5, "u", big), (3, None, big), (4, "u", "small"), (6, "u", "small"), (7, "u", None)]
