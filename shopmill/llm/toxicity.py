@@ -342,8 +342,14 @@ class _Scorer:
     def ids(self, found: list[str]) -> np.ndarray:
         number = self.number
         if new := list(set(found).difference(number)):
-            number.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, self.model.evidence.inputs(new)])
+            first = len(number) + 1
+            end = first + len(new)
+            number.update(zip(new, range(first, end)))
+            if end > len(self.table):  # twice as long, so that a row is copied a bounded number of times
+                longer = np.zeros((max(end, 2 * len(self.table)), INPUTS), np.float32)
+                longer[:first] = self.table[:first]
+                self.table = longer
+            self.table[first:end] = self.model.evidence.inputs(new)
         return np.fromiter(map(number.__getitem__, found), np.int32, len(found))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -369,7 +375,7 @@ class _Scorer:
                 if size:
                     np.maximum.at(best, owner, self.logits(np.concatenate(held)))
                 held, owner, size = [], [], 0
-                if len(self.table) > REMEMBERED:
+                if len(self.number) > REMEMBERED:
                     self.forget()
         return _sigmoid(best)
 
