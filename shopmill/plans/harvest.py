@@ -143,9 +143,7 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
 
 
 def catalog_from_csv(spark: SparkSession, path: str, work_dir: str, first_id: int = 10000) -> DataFrame:
-    """Catalog rows of stored staging files, whatever known encoding each has.
-
-    Row numbers are fixed in a written table before they are used, because they depend on how files are split.
-    """
-    rows = stage_from_csv_columns(read_stage_csv(spark, path), F.monotonically_increasing_id())
+    """Catalog rows of stored staging files, whatever known encoding each has, in order of file and row."""
+    cells = read_stage_csv(spark, path, os.path.join(work_dir, "csv"))
+    rows = stage_from_csv_columns(cells, F.col("position"))
     return to_catalog(_written(rows, os.path.join(work_dir, "stage_rows")), first_id)

@@ -1,7 +1,10 @@
 """Staging, catalog, files, numbering, joins of skewed tables, reports, the whole job and the stream."""
 
+import csv
 import glob
+import io
 import os
+import random
 from urllib.parse import urlparse
 
 import pytest
@@ -164,6 +167,55 @@ def test_encodings(spark, tmp_path):
     assert {(r["Description"], r["SKU"], r["Sizes"]) for r in rows.values()} == {("a\nb", "007", "5")}
 
 
+@pytest.mark.parametrize("size", [301, 1 << 20])
+def test_records_cut_at_any_split(spark, tmp_path, size):
+    """Rows of quotes, line breaks of both kinds and blank lines, against Python's own reader, in order over files."""
+    draw = random.Random(3)
+    pieces = ["a", "\n", '"', ",", "\r\n", "é", "中", "\n\n", "x" * 30, " ", ""]
+    expected = []
+    for name, end in (("a b", "\n"), ("b", "\r\n"), ("c", "\n")):
+        rows = [[f"{name}{i}"] + ["".join(draw.choices(pieces, k=draw.randrange(5))) for _ in STAGE_COLUMNS[1:]] for i in range(25)]
+        out = io.StringIO(newline="")
+        csv.writer(out, lineterminator=end, quoting=csv.QUOTE_ALL).writerows([STAGE_COLUMNS, *rows])
+        if name == "c":  # the last quote is not closed, and lines are blank
+            out.write('\n\nlast,"open\n,1')
+            rows.append(["last", "open\n,1"] + [""] * 8)
+        (tmp_path / f"{name}.csv").write_bytes(("\ufeff" + out.getvalue()).encode("utf-8"))
+        expected += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        back = read_stage_csv(spark, f"{tmp_path}/*.csv", str(tmp_path / "work"))
+        assert spark.read.parquet(f"{tmp_path}/work/lines").select("file", "block").distinct().count() > (3 if size < 1000 else 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = back.orderBy("position").collect()
+    assert len({r["position"] for r in rows}) == len(rows)
+    assert [[r[c] or "" for c in STAGE_COLUMNS] for r in rows] == expected
+    for encoding, cell in (("gb18030", "中㐀"), ("iso-8859-1", "caféÿ")):
+        (tmp_path / encoding).mkdir()
+        (tmp_path / encoding / "f.csv").write_bytes(f'h\n{cell},"{cell}\n{cell}"\n'.encode(encoding))
+        row = read_stage_csv(spark, str(tmp_path / encoding)).first()
+        assert (row["Title"], row["Description"]) == (cell, f"{cell}\n{cell}")
+
+
+def test_no_records(spark, tmp_path):
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "header.csv").write_bytes(",".join(STAGE_COLUMNS).encode())
+    assert read_stage_csv(spark, str(tmp_path)).count() == 0
+
+
+def test_catalog_keeps_its_order_through_files(spark, tmp_path):
+    """Rows of one category written as several files come back in order, and the catalog is the same row for row."""
+    rows = [(i, f"t{i}", "d\n" * (i % 4), "s", "1.00", None, "One", "i", str(i), "S,M" if i % 3 else None, "Red") for i in range(300)]
+    df = stage(spark, *rows).repartition(5, "title")
+    write_stage(df, f"{tmp_path}/stage", "s")
+    direct, trip = to_catalog(df), catalog_from_csv(spark, f"{tmp_path}/stage/*/*.csv", str(tmp_path))
+    columns = ["ID", "Type", "SKU", "Name", "Parent", "Attribute 1 value(s)"]
+    assert direct.orderBy("ID").select(*columns).collect() == trip.orderBy("ID").select(*columns).collect()
+    assert trip.orderBy("ID").select("k").collect() == trip.orderBy("product_seq", "k").select("k").collect()
+
+
 def test_catalog_files(spark, tmp_path):
     write_stage(stage(spark, SHOE, BOOT, PLAIN), f"{tmp_path}/stage", "s")
     rows = catalog_from_csv(spark, f"{tmp_path}/stage/*/*.csv", str(tmp_path))
