@@ -146,16 +146,20 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("product_seq").toDF(*STAGE_COLUMNS)
 
 
-@query(f"""SELECT count(*) AS rows, count(DISTINCT "ID") AS ids FROM ({_CATALOG_SQL})""")
+# products come back by file, and files are named after categories
+_FROM_FILES_SQL = _CATALOG_SQL.replace("ORDER BY product_seq", "ORDER BY coalesce(category, '') || '_products_', product_seq")
+_CELLS_SQL = ", ".join(f"""nullif(CAST("{name}" AS VARCHAR), '') AS "{name}\"""" for name in CATALOG_COLUMNS)
+
+
+@query(f"SELECT {_CELLS_SQL} FROM ({_FROM_FILES_SQL})")
 def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staging files to catalog files, and what the catalog files hold."""
+    """Staging files to catalog files, and what the catalog files hold: all cells, numbered in the order of the files."""
     base = work_folder(spark)
     write_stage(to_stage(part_records(spark, sf_dir)), f"{base}/stage", "20250101_000000")
     rows = catalog_from_csv(spark, f"{base}/stage/*/*.csv", base)
     write_catalog(rows, f"{base}/catalog")
     header = ", ".join(f"`{name}` string" for name in CATALOG_COLUMNS)
-    back = spark.read.schema(header).csv(f"{base}/catalog", header=True, multiLine=True, escape='"')
-    return back.agg(F.count("*").alias("rows"), F.countDistinct("ID").alias("ids"))
+    return spark.read.schema(header).csv(f"{base}/catalog", header=True, multiLine=True, escape='"')
 
 
 @query("""
