@@ -17,6 +17,9 @@ STOCK = "1000"
 VISIBLE = "visible"
 DEFAULT_CATEGORY = "Uncategorized"
 
+#: Products of more catalog rows than this are cut into blocks of this many sizes by as many colours. Same rows either way.
+SPLIT_FROM, BLOCK_SIDE = 100_000, 64
+
 
 def plain_image_url(url: Column) -> Column:
     return F.coalesce(F.replace(url, F.lit("fmt=webp"), F.lit("fmt=jpg")), F.lit(""))
@@ -80,13 +83,20 @@ def catalog_size() -> Column:
     return F.when(_is_variable(), pairs + 1).otherwise(1)
 
 
-def expand_rows(stage: DataFrame) -> DataFrame:
+def expand_rows(stage: DataFrame, split_from: int = SPLIT_FROM) -> DataFrame:
     """Base row of each product, followed (``k`` 1, 2, ...) by its variations, sizes outside, colours inside.
 
     Sizes and colours are exploded one after the other, so the pairs of a product never stand in memory together.
-    The long texts travel inside the base entry only, so that exploding does not copy them per variation.
+    The long texts travel inside the base entry only, so that exploding does not copy them per variation. A product
+    of more than ``split_from`` rows is cut into blocks of sizes by colours that are dealt to all tasks before they
+    become rows; its variations hold no ``sizes`` and ``colors``. ``variable`` tells products that have sizes.
     """
+    stage = stage.withColumn("variable", _is_variable())
+    large = catalog_size() > split_from
+    return _expand_whole(stage.filter(~large)).unionByName(_expand_blocks(stage.filter(large)))
+
 
+def _expand_whole(stage: DataFrame) -> DataFrame:
     def entry(place: Column, size: Column, description: Column, short: Column) -> Column:
         return F.struct(
             place.cast("bigint").alias("place"),
@@ -102,7 +112,7 @@ def expand_rows(stage: DataFrame) -> DataFrame:
     by_size = stage.select(
         *slim,
         F.split(_colors(), ",").alias("color_list"),
-        F.explode(F.when(_is_variable(), F.concat(base, sized)).otherwise(base)).alias("v"),
+        F.explode(F.when(F.col("variable"), F.concat(base, sized)).otherwise(base)).alias("v"),
     )
     is_base = F.col("v.place") < 0
     colors = F.when(is_base, F.array(none.cast("string"))).otherwise(F.col("color_list"))
@@ -114,6 +124,38 @@ def expand_rows(stage: DataFrame) -> DataFrame:
     )
 
 
+def _expand_blocks(stage: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    texts = ["description", "short_description"]
+    slim = [name for name in stage.columns if name not in ("sizes", "colors", *texts)]
+    base = stage.withColumns({"k": F.lit(0).cast("bigint"), "size": none, "color": none})
+
+    def blocks(values: str) -> Column:
+        starts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK_SIDE))
+        return F.transform(
+            starts, lambda at: F.struct(at.cast("bigint").alias("at"), F.slice(values, at + 1, BLOCK_SIDE).alias("values"))
+        )
+
+    lists = stage.select(*slim, F.split("sizes", ",").alias("size_list"), F.split(_colors(), ",").alias("color_list"))
+    items = lists.select(
+        *slim, F.size("color_list").cast("bigint").alias("colors_each"), blocks("color_list").alias("color_blocks"),
+        F.explode(blocks("size_list")).alias("s"),
+    )
+    items = items.select(*slim, "colors_each", "s", F.explode("color_blocks").alias("c"))
+    # a number of partitions that adaptive execution does not merge: blocks are small, their rows are not
+    tasks = int(stage.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = items.repartition(tasks, "product_seq", "s.at", "c.at")
+    rows = items.select(*slim, "colors_each", "c", "s.at", F.posexplode("s.values").alias("size_place", "size"))
+    rows = rows.select(*slim, "colors_each", "at", "size_place", "size", F.col("c.at").alias("color_at"),
+                       F.posexplode("c.values").alias("color_place", "color"))
+    k = (F.col("at") + F.col("size_place")) * F.col("colors_each") + F.col("color_at") + F.col("color_place") + 1
+    variations = rows.select(
+        *slim, k.alias("k"), strip(F.col("size")).alias("size"), strip(F.col("color")).alias("color"),
+        *(none.alias(name) for name in ("sizes", "colors", *texts)),
+    )
+    return base.unionByName(variations)
+
+
 def to_catalog(stage: DataFrame, first_id: int = 10000) -> DataFrame:
     """Catalog rows in the 47-column layout plus ``product_seq`` and ``k``, which give the row order.
 
@@ -124,7 +166,7 @@ def to_catalog(stage: DataFrame, first_id: int = 10000) -> DataFrame:
     # joined while a product is one row; nothing is shuffled once its variations are rows
     rows = expand_rows(stage.join(starts, "product_seq"))
 
-    is_base, variable = F.col("k") == 0, _is_variable()
+    is_base, variable = F.col("k") == 0, F.col("variable")
     none, empty = F.lit(None).cast("string"), F.lit("")
 
     def by_kind(base: Column, variation: Column) -> Column:

@@ -73,6 +73,17 @@ def test_a_product_with_very_many_pairs_is_streamed(spark):
     assert rows.agg(F.count("*"), F.max("k"), F.countDistinct("k")).first()[:] == (490001, 490000, 490001)
 
 
+def test_a_large_product_is_made_by_several_tasks(spark):
+    sizes, colors = (", ".join(f"{x}{i % 150}" for i in range(n)) + ",," for x, n in (("s", 300), ("c", 200)))
+    df = stage(spark, (*SHOE[:9], sizes, colors), PLAIN, BOOT, (11, *BOOT[1:9], " ,x", None))
+    split, whole = (expand_rows(df, limit) for limit in (1_000, 1 << 40))
+    columns = [c for c in whole.columns if c not in ("sizes", "colors")]
+    assert split.count() == whole.count() == 1 + 302 * 202 + 1 + 2 + 3
+    assert split.select(columns).exceptAll(whole.select(columns)).count() == 0
+    tasks = split.filter("k > 0 and product_seq = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 302 * 202 / 2
+
+
 def test_numbers_are_dense_and_in_order(spark):
     keys = spark.range(0, 50000, 7).select((F.col("id") * 1000003 % 50021).alias("key"))
     sized = keys.withColumn("n", F.col("key") % 5)
