@@ -19,6 +19,8 @@ from shopmill.operators.skew import join_unique
 from shopmill.operators.quarantine import only_pages
 from shopmill.operators.shred import shred
 from shopmill.plans.harvest import catalog_from_csv, harvest
+from shopmill.queries import QUERIES
+from shopmill.queries.catalogs import part_records
 from shopmill.schemas import CATALOG_COLUMNS, RUNS, STAGE_COLUMNS
 from shopmill.session import HarvestSettings
 from shopmill.sources.csv_files import file_encodings, read_stage_csv, write_catalog, write_stage, written_files
@@ -408,3 +410,19 @@ def test_no_times_give_no_total(spark):
     assert (row["terms"], row["total_time"], row["average_time"]) == (2, None, None)
     half = report.run_summary(runs.unionByName(spark.createDataFrame([(True, 4.0)], runs.schema))).first()
     assert (half["total_time"], half["average_time"]) == (4.0, 4.0)
+
+
+def test_parts_are_dealt_and_their_staging_rows_made_once(spark, tmp_path):
+    rows = [(i, "thing", "Brand#1", "TIN", i % 9, 10.0 + i) for i in range(40)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert part_records(spark, str(tmp_path)).rdd.getNumPartitions() == tasks > 1
+    counts = QUERIES["catalog_counts"](spark, str(tmp_path))
+    # numbers, base rows and variations start from written rows: no list of sizes is looked for again
+    assert "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = {(row["kind"], row["category"]): row["rows"] for row in counts.collect()}
+    # 10 parts with 3 sizes by 2 colours, 10 with 3 sizes by 1 colour, 20 without sizes
+    assert sum(n for (kind, _), n in found.items() if kind == "variable") == 20
+    assert found["variation", None] == 10 * 6 + 10 * 3
+    assert sum(n for (kind, _), n in found.items() if kind == "simple") == 20
