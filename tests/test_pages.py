@@ -15,6 +15,7 @@ from shopmill.operators.extract import (
 )
 from shopmill.operators.rank import bestseller_links, check_ranks, result_counts, search_links
 from shopmill.operators.select import SelectorSet, element, steps_of
+from shopmill.operators import shred as shred_module
 from shopmill.operators.shred import _inspector, _shred, elements_table, shred, slice_text
 from shopmill.schemas import PRODUCT
 from shopmill.sources.tables import read_pages
@@ -368,3 +369,27 @@ def test_attributes_of_a_start_tag(tag, attributes):
 def test_an_end_tag_may_hold_attributes_and_comments_hide_tags():
     text, _, elements, _ = _shred("<p>a</p x='>'>b<!-- <i> -->c<!x y>d<?z <u>e", _inspector(None), 0)
     assert (text, [e[5] for e in elements]) == ("abcde", ["p"])
+
+
+def test_a_tag_is_taken_apart_once(monkeypatch):
+    class Counted:
+        searches = 0
+
+        def search(self, *where):
+            self.searches += 1
+            return token.search(*where)
+
+    token, counted = shred_module.TOKEN, Counted()
+    monkeypatch.setattr(shred_module, "TOKEN", counted)
+    page = "<ul>" + "<li class='a>b'>x &amp; y</li >\n" * 500 + "</ul>"
+    text, _, elements, having = _shred(page, _inspector(["a>b"]), 0, 1)
+    assert len(elements) == 500 and having == [list(range(500))] and text == "x & y\n" * 500
+    assert elements[499][10] == ["a>b"] and elements[499][6] == 500
+    assert counted.searches < 600  # start tags with a > in a quote are looked at again, all others once
+
+
+def test_a_full_table_of_tags_changes_nothing(monkeypatch):
+    page = "".join(f"<p id='{i % 7}'>{i}<b>x</b></p><br>" for i in range(60))
+    whole = _shred(page, _inspector(["<p", "<b"]), 0, 2)
+    monkeypatch.setattr(shred_module, "KNOWN_TAGS", 3)
+    assert _shred(page, _inspector(["<p", "<b"]), 0, 2) == whole and len(whole[2]) == 120
