@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, cached_property, reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,9 @@ UNKNOWN = "und"
 MAP_BITS, BITS_EACH = 1 << 29, 32
 #: Which bits of a fingerprint give its slots in a map, and in that of the proofs, which has to be surer.
 SLOTS, SURER_SLOTS = (0, 17, 34), (0, 9, 18, 27, 36, 45)
-#: Fingerprints that a task holds before it adds equal ones up, and characters of a text that are hashed together.
-HELD, BLOCK = 3_000_000, 1 << 20
+#: Different fingerprints that a task holds (a quarter of that comes in before equal ones are added up), rows that it hands
+#: over together, and characters of a text that are hashed together. They bound a task's memory, not its results.
+HELD, ROWS, BLOCK = 2_000_000, 100_000, 1 << 18
 
 # Rabin-Karp polynomials modulo 2**64: an odd base has an inverse, so a prefix sum gives every substring's value.
 BASE = 0x9E3779B97F4A7C15
@@ -35,12 +36,16 @@ IS_SPACE[[0x20, 0x09]] = True
 IS_END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 
 
-@cache
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, size: int) -> np.ndarray:
-    """The first ``size`` powers of a base."""
-    steps = np.full(size, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+    """The first ``size`` powers of a base, or more of them: a task keeps the longest table only."""
+    if len(_POWERS.get(base, ())) < size:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[base]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,14 +181,17 @@ def _tally(lengths: tuple[int, ...], known: dict[int, Map], bits: int = 64):
     """Rows ``print, n, mark``: how often a fingerprint occurs in a task's texts, and the smallest mark of such a text."""
 
     def add_up(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        prints, n, marks = (np.concatenate(p) for p in zip(*held))
-        order = np.argsort(prints)
-        prints, n, marks = prints[order], n[order], marks[order]
-        first = np.flatnonzero(np.diff(prints, prepend=~prints[:1]) != 0)
-        return prints[first], np.add.reduceat(n, first), np.minimum.reduceat(marks, first)
+        # a column at a time; the fingerprints held so far are in order, which a stable sort makes use of
+        prints = np.concatenate([part[0] for part in held])
+        order = np.argsort(prints, kind="stable")
+        prints = prints[order]
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        prints = prints[first]
+        n = np.add.reduceat(np.concatenate([part[1] for part in held])[order], first)
+        return prints, n, np.minimum.reduceat(np.concatenate([part[2] for part in held])[order], first)
 
     def batches(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        summed, fresh, size = [], [], 0
         for frame in stream:
             for lang, marks, texts in _blocks(frame):
                 words, seed = Words(texts, bits), _seed(lang)
@@ -191,19 +199,20 @@ def _tally(lengths: tuple[int, ...], known: dict[int, Map], bits: int = 64):
                 for n in lengths:
                     at = _may_be_frequent(words, n, seed, known)
                     if len(at):
-                        held.append((words.fingerprints(at, n, seed), np.ones(len(at), np.int64), mark_of[at]))
+                        fresh.append((words.fingerprints(at, n, seed), np.ones(len(at), np.int64), mark_of[at]))
                         size += len(at)
-                if size > HELD:
-                    held = [add_up(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield _frame(*held[0])
-                        held, size = [], 0
-        if held:
-            yield _frame(*add_up(held))
-
-    def _frame(prints: np.ndarray, n: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"print": prints.view(np.int64), "n": n, "mark": marks})
+                if size > HELD // 4:
+                    fresh = [add_up(fresh)]
+                    summed, fresh, size = [add_up(summed + fresh)], [], 0
+                    if len(summed[0][0]) > HELD:
+                        yield from _frames(*summed.pop())
+        if summed or fresh:
+            yield from _frames(*add_up(summed + fresh))
+
+    def _frames(prints: np.ndarray, n: np.ndarray, marks: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(prints), ROWS):
+            part = slice(at, at + ROWS)
+            yield pd.DataFrame({"print": prints[part].view(np.int64), "n": n[part], "mark": marks[part]})
 
     return batches
 
@@ -248,7 +257,7 @@ def _read_texts(known: dict[int, Map], chosen: Map, as_pointers: bool, bits: int
                     for value, place, proof in values:
                         entry = (value, lang, n, words.phrase(place, n), proof)
                         found[entry] = found.get(entry, 0) + 1
-            if len(found) > HELD // 8:
+            if len(found) > READ_HELD:
                 yield rows(found, {})
                 found = {}
         yield rows(found, totals)
@@ -261,6 +270,8 @@ def _read_texts(known: dict[int, Map], chosen: Map, as_pointers: bool, bits: int
     return batches
 
 
+#: Phrases that a task holds while it reads them.
+READ_HELD = 375_000
 READ = "print long, lang string, words int, phrase string, proof long, n long"
 
 

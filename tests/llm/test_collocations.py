@@ -91,6 +91,18 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     assert cut.groupby("print").mark.min().to_dict() == whole.groupby("print").mark.min().to_dict()
 
 
+def test_tasks_hand_over_few_rows_at_a_time(monkeypatch):
+    import pandas as pd
+
+    values = [t or "" for t in texts(5)]
+    frame = pd.DataFrame({"lang": "en", "mark": range(len(values)), "text": values})
+    (whole,) = collocations._tally((1, 2, 3), {})(iter([frame]))
+    monkeypatch.setattr(collocations, "ROWS", 50, raising=False)
+    parts = list(collocations._tally((1, 2, 3), {})(iter([frame])))
+    assert max(map(len, parts)) <= 50 < len(whole)
+    assert pd.concat(parts, ignore_index=True).equals(whole)
+
+
 def test_one_long_piece_and_empty_table(spark):
     table = docs(spark, ["in good faith " * 30_000])
     got = {r.phrase: (r.a, r.l, r.r) for r in collocations.collocations(collocations.frequent_phrases(table)).collect()}
